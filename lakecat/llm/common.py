@@ -88,6 +88,24 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+class Slots(dict):
+    """Numbers keys in the order of their first look-up; `new` holds those not seen before."""
+
+    def __init__(self, known: Iterable = ()):
+        super().__init__((k, i) for i, k in enumerate(known))
+        self.new: list = []
+
+    def __missing__(self, key) -> int:
+        at = self[key] = len(self)
+        self.new.append(key)
+        return at
+
+    def taken(self) -> list:
+        """The new keys; they are not new any more."""
+        out, self.new = self.new, []
+        return out
+
+
 class Powers:
     """Powers of an odd number modulo 2**64, grown on demand."""
 

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from lakecat.llm import simhash, substring
+from lakecat.llm import bpe, chat, rules, simhash, substring, tokenstore
 
 QUERIES = {
+    "op1_token_store": tokenstore.query,
+    "op2_bpe_pair_index": bpe.query,
     "op3_substring_dedup": substring.query,
+    "op5_quality_rules": rules.query,
+    "op7_chat_format": chat.query,
     "op9_simhash_near_dedup": simhash.query,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op5_quality_rules": rules.sql(),
+    "op7_chat_format": chat.SQL,
+}
