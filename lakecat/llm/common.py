@@ -119,16 +119,20 @@ class Powers:
         return self.of[:n]
 
 
-_BYTES, _WORDS = Powers(0x9E3779B97F4A7C15), Powers(0xD6E8FEB86659FD93)
+def _both(base: int) -> tuple[Powers, Powers]:
+    return Powers(base), Powers(pow(base, -1, 1 << 64))
 
 
-def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, powers: Powers) -> np.ndarray:
-    """A 64-bit hash of values[start:end] for each pair; equal for equal content, wherever it stands."""
+_BYTES, _WORDS = _both(0x9E3779B97F4A7C15), _both(0xD6E8FEB86659FD93)
+
+
+def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, powers: tuple[Powers, Powers]) -> np.ndarray:
+    """A 64-bit hash of values[start:end] for each pair; equal for equal content, wherever and in whichever array it stands."""
     n = len(values)
-    of = powers.upto(n + 1)
+    up, down = (p.upto(n + 1) for p in powers)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(values.astype(np.uint64) * of[:n], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * of[n - starts] + (ends - starts).astype(np.uint64))
+    np.cumsum(values.astype(np.uint64) * up[:n], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
 def byte_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
