@@ -133,8 +133,8 @@ def _edges(keyed: DataFrame, opened: DataFrame, window: int) -> DataFrame:
         take, both = pa.array(np.concatenate(rows)), np.frombuffer(b"".join(e), np.int64).reshape(-1, 2)
         return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()).take(take), batch.column(1).take(take), pa.array(np.concatenate(pos).astype(np.int32)), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["doc_id", "h", "pos", "e1", "e2"])
 
-    # repeated rows would each open the same path: one row of each is enough to read the words
-    return met.mapInArrow(run, schema).distinct()
+    # repeated rows open the same path each: their edges are occurrences of each other
+    return met.mapInArrow(run, schema)
 
 
 def spans(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
