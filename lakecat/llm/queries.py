@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lakecat.llm import bpe, chat, langid, quality, rules, simhash, substring, tokenstore
+from lakecat.llm import bpe, chat, decontam, langid, quality, rules, simhash, substring, tokenstore
 
 QUERIES = {
     "op1_token_store": tokenstore.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_substring_dedup": substring.query,
     "op4_quality_classifier": quality.query,
     "op5_quality_rules": rules.query,
+    "op6_decontamination": decontam.query,
     "op7_chat_format": chat.query,
     "op9_simhash_near_dedup": simhash.query,
     "op10_language_id": langid.query,
