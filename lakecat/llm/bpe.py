@@ -17,6 +17,7 @@ repeated rows are encoded alike; null ids pass through; an empty table gives an
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import heapq
 import json
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-_BATCH_BYTES, _CACHE = 32 << 20, 400_000
+_BATCH_BYTES, _CACHE = 8 << 20, 200_000
 _NONE = np.iinfo(np.int32).max
 
 
@@ -203,6 +204,12 @@ class Codec:
         return b" ".join([self.string[i] for i in ids.tolist()])
 
 
+@functools.lru_cache(1)
+def codec_of(path: str) -> Codec:
+    """One codec for all tasks that a Python worker runs."""
+    return Codec(path)
+
+
 def encode(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
     """docs with `ids`, little-endian unsigned 32-bit integers, `n_tokens`, and `decoded`, the decoded text."""
     return _with(docs, tokenizer, text, "ids binary, n_tokens long, decoded string", lambda data, n, decoded: [data, n, decoded.decode()])
@@ -221,7 +228,7 @@ def _with(docs: DataFrame, tokenizer: str, text: str, more: str, row) -> DataFra
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(tokenizer)
+        codec = codec_of(tokenizer)
         kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
         types = [kinds[c.strip().split(" ")[1]] for c in more.split(",")]
         for batch in batches:
