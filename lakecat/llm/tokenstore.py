@@ -19,9 +19,11 @@ stand side by side, ordered by their ids' bytes; an empty table gives an empty s
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 from . import common
 
 BLOCK, LEVEL, END = 1 << 16, 3, 0
-_BATCH_BYTES, _CACHE = 8 << 20, 300_000
+_BATCH_BYTES, _CACHE = 4 << 20, 400_000
 #: White space other than the common four; texts with any of them take the careful split.
 _RARE = "".join(map(chr, [*range(0x0B, 0x0D), *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 #: Runs of white space that must not be cut within.
@@ -49,8 +51,32 @@ def pieces(text: str) -> list[str]:
     return text.replace("\n", " \n").split(" ")
 
 
+#: What the byte-level pre-tokeniser does to text of ASCII and the Latin-1 letters only.
+_LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
+_SAFE = re.compile(rf"[\x20-\x7E\n{_LATIN}]*").fullmatch
+_TOKENS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LATIN}]+| ?[0-9]+| ?[^\s{_LATIN}0-9]+|\s+(?!\S)|\s+").findall
+#: Bytes that byte-level spelling keeps; the others become the characters from U+0100 on, in order.
+_KEPT = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_SPELLING = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in _KEPT)}
+
+
+class _Words(dict):
+    """Ids of pre-tokens by the library's model, as bytes, remembered."""
+
+    def __init__(self, model):
+        self.tokenize = model.tokenize
+
+    def __missing__(self, word: str) -> bytes:
+        if word.isascii() and "\n" not in word:
+            spelt = word.replace(" ", "\u0120")
+        else:
+            spelt = word.encode().decode("latin-1").translate(_SPELLING)
+        out = self[word] = array("I", [t.id for t in self.tokenize(spelt)]).tobytes()
+        return out
+
+
 class Encoder:
-    """Ids of texts; remembers the ids of up to `cache` pieces between calls."""
+    """Ids of texts; remembers the ids of up to `cache` pieces between calls, of the most frequent ones when there are more."""
 
     def __init__(self, path: str, cache: int = _CACHE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -60,32 +86,47 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.vocab = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self._clear()
-
-    def _clear(self) -> None:
+        self.words = _Words(self.tokenizer.model)
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, special)) or r"(?!)").search
         self.slot = common.Slots()
-        self.flat, self.begin = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.flat, self.begin, self.seen = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(0, np.int64)
+
+    def _trim(self) -> None:
+        """Forget all but the most frequent half of the cache."""
+        keys, keep = list(self.slot), np.sort(np.argsort(-self.seen, kind="stable")[: self.cache // 2])
+        sizes = np.diff(self.begin)[keep]
+        stops = np.concatenate([[0], np.cumsum(sizes)])
+        self.flat = self.flat[np.repeat(self.begin[keep] - stops[:-1], sizes) + np.arange(int(stops[-1]))]
+        self.begin, self.seen = stops, self.seen[keep]
+        self.slot = common.Slots(map(keys.__getitem__, keep.tolist()))
+        self.words.clear()
+
+    def _ids(self, text: str) -> bytes:
+        """Of one piece: plain Latin text is cut into pre-tokens here and goes to the library's model, other text through all of the library."""
+        if _SAFE(text) and not self.special(text):
+            tokens = _TOKENS(text)
+            return self.words[tokens[0]] if len(tokens) == 1 else b"".join(map(self.words.__getitem__, tokens))
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _learn(self, new: list[str | tuple[str]]) -> None:
-        flat, begin = [self.flat], [self.begin]
-        for lo in range(0, len(new), 20_000):
-            texts = [p[0] if isinstance(p, tuple) else p if p.startswith("\n") else " " + p for p in new[lo : lo + 20_000]]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat.append(np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum())))
-            begin.append(begin[-1][-1] + np.cumsum(sizes))
-        self.flat, self.begin = np.concatenate(flat), np.concatenate(begin)
+        ids = [self._ids(p if p.startswith("\n") else " " + p) if isinstance(p, str) else self._ids(p[0]) for p in new]
+        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(ids), np.uint32)])
+        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) // 4)])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and how many each text has."""
         if len(self.slot) > self.cache:
-            self._clear()
+            self._trim()
         split = [pieces(x) for x in texts]
         for s in split:
             s[0] = (s[0],)  # the first piece has no leading space
         flat = list(chain.from_iterable(split))
-        code = np.array(list(map(self.slot.__getitem__, flat)), np.int64)
+        code = np.fromiter(map(self.slot.__getitem__, flat), np.int64, len(flat))
         self._learn(self.slot.taken())
+        seen = np.bincount(code, minlength=len(self.slot))
+        seen[: len(self.seen)] += self.seen
+        self.seen = seen
         sizes = np.diff(self.begin)[code]
         stops = np.concatenate([[0], np.cumsum(sizes)])
         at = np.repeat(self.begin[code] - stops[:-1], sizes) + np.arange(int(stops[-1]))
@@ -93,6 +134,12 @@ class Encoder:
         return self.flat[at], np.diff(stops[ends], prepend=0)
 
 
+@functools.lru_cache(1)
+def encoder_of(path: str) -> Encoder:
+    """One encoder for all tasks that a Python worker runs."""
+    return Encoder(path)
+
+
 def planes_of(ids: np.ndarray, width: int, kind: str, level: int = LEVEL) -> list[bytes]:
     """Compressed planes of a block of ids of `width` bytes each."""
     import zstandard
@@ -123,7 +170,7 @@ def encode(docs: DataFrame, tokenizer: str, end: int | None = END) -> DataFrame:
     """doc_id and `ids`, little-endian unsigned integers of 2 bytes where all ids fit, else 4."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         kind = "<u2" if encoder.vocab <= 1 << 16 and (end or 0) < 1 << 16 else "<u4"
         for batch in batches:
             for part in common.blocks(batch, _BATCH_BYTES):
