@@ -1,20 +1,58 @@
-"""The corpus pipeline: five stages over `documents`, each one of the operators."""
+"""The corpus pipeline: five stages over `documents`, each one of the operators in lakecat.llm.
+
+Each stage takes what its predecessor kept and returns the columns of documents; the last one returns the encoded documents.
+"""
 
 from __future__ import annotations
 
-from lakecat.llm import simhash, substring
+from pyspark.sql import DataFrame, SparkSession
+
+from lakecat.llm import bpe, common, decontam, quality, simhash, substring
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go. It learns from the labelled rows among `docs`."""
+    scored = quality.scored(docs, common.table(spark, sf_dir, "labels"))
+    return scored.where("predicted = 1").select(*docs.columns)
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of linked fingerprints stays, the one with the smallest id."""
+    return simhash.keep_first(docs)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words covered by a window of 35 that starts anywhere else too are cut out; every document stays."""
+    return substring.strip(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item or a paraphrase of one go."""
+    return decontam.clean(docs, common.table(spark, sf_dir, "benchmark"))
+
+
+def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids (little-endian unsigned 32-bit) and the digests of the ids and of the decoded text."""
+    import public_tokenizers
+
+    return bpe.summarised(docs.select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+
 
 STAGES = [
-    ("simhash_near_dedup", lambda spark, docs, sf_dir: simhash.keep_first(docs)),
-    ("substring_dedup", lambda spark, docs, sf_dir: substring.strip(docs)),
+    ("quality_classifier", quality_classifier),
+    ("simhash_near_dedup", simhash_near_dedup),
+    ("substring_dedup", substring_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("bpe_encoding", bpe_encoding),
 ]
 
-#: The classifier, the ball hashing and the tokenizer have no SQL form; tests hold the stages against brute force.
+#: A trained classifier and a tokenizer have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole table; each one's rows are written below the shared folder before the next one reads them."""
+    docs = common.table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = common.staged(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

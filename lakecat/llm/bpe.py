@@ -221,6 +221,13 @@ def digests(docs: DataFrame, tokenizer: str) -> DataFrame:
     return _with(docs.select("doc_id", "text"), tokenizer, "text", "n_tokens long, ids_sha256 string, decoded_sha256 string", lambda data, n, decoded: [n, sha(data), sha(decoded)]).drop("text")
 
 
+def summarised(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """doc_id, n_tokens, ids and both digests."""
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    more = "n_tokens long, ids binary, ids_sha256 string, decoded_sha256 string"
+    return _with(docs.select("doc_id", "text"), tokenizer, "text", more, lambda data, n, decoded: [n, data, sha(data), sha(decoded)]).drop("text")
+
+
 def _with(docs: DataFrame, tokenizer: str, text: str, more: str, row) -> DataFrame:
     new = [c.strip().split(" ")[0] for c in more.split(",")]
     docs = docs.drop(*[c for c in new if c in docs.columns])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lakecat.llm import bpe, chat, decontam, langid, quality, rules, simhash, substring, tokenstore
+from lakecat.llm import bpe, chat, decontam, html, langid, quality, rules, simhash, substring, tokenstore
 
 QUERIES = {
     "op1_token_store": tokenstore.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_quality_rules": rules.query,
     "op6_decontamination": decontam.query,
     "op7_chat_format": chat.query,
+    "op8_html_layout": html.query,
     "op9_simhash_near_dedup": simhash.query,
     "op10_language_id": langid.query,
 }
