@@ -182,7 +182,7 @@ class Codec:
             flat += own
             self.text.append(b" ".join([string[i] for i in own]))
         self.flat = np.concatenate([self.flat, np.array(flat, np.uint32)])
-        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(counts)])
+        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(np.array(counts, np.int64))])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
         """All ids, how many each text has, and the slots of each text's pieces."""
