@@ -3,7 +3,7 @@
 1. Every text becomes its sequence of terms (lower-case runs of letters and digits), as numbers of the benchmark's vocabulary;
    terms that no item holds share one number. They would add nothing to an inner product with an item.
 2. Passages of `length` terms, one after another in every document, give document frequencies and the TF-IDF matrix.
-3. One pass of a randomised SVD over all passages: each task adds up A'(A G) for its passages and a fixed random G (terms x rank
+3. One pass of a randomised SVD over all passages, of the terms that are not common: each task adds up A'(A G) for its passages and a fixed random G (terms x rank
    plus oversampling), the sums are added up in the shared shuffle, and the driver solves the small eigenproblem. What is
    gathered is bounded by the benchmark's vocabulary, not by the corpus.
 4. Overlapping passages of all documents are projected; passages whose cosine with an item
@@ -28,7 +28,10 @@ from pyspark.sql import functions as F
 
 from . import common
 
-LENGTH, STRIDE, RANK, OVERSAMPLE, NEAR = 24, 8, 128, 8, 0.6
+LENGTH, STRIDE, RANK, OVERSAMPLE, NEAR = 24, 8, 64, 8, 0.55
+#: Terms in more than this share of all passages (and 100 passages more) are no part of the latent space, unless an item has
+#: fewer than FEW other terms.
+COMMON, FEW = 0.05, 4
 SAME, ALIKE, ANSWER, MASS, SLACK = 0.85, 0.65, 6, 0.7, 1.3
 _SEED, _BLOCK_BYTES, _TERMS = 5, 8 << 20, 1 << 20
 
@@ -73,6 +76,16 @@ class Benchmark:
         return unit(raw.astype(np.float32))
 
 
+def weights(bench: Benchmark, df: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """IDF of each term, and that of the terms of the latent space, zero for the others."""
+    idf = np.log((1 + n) / (1 + df)).astype(np.float32)
+    rare = df <= COMMON * n + 100
+    for item in bench.items:
+        if len(np.unique(item[rare[item]])) < FEW:
+            rare[item] = True
+    return idf, np.where(rare, idf, 0).astype(np.float32)
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
@@ -86,15 +99,15 @@ def passages(counts: np.ndarray, length: int, stride: int) -> tuple[np.ndarray,
     return text, begin[text] + start, begin[text] + np.minimum(start + length, counts[text])
 
 
-def _sums(numbers: np.ndarray, size: int, rows: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Sum of rows[number] over each passage; starts ascend, numbers of `size` add nothing.
+def _sums(numbers: np.ndarray, used: np.ndarray, rows: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Sum of rows[number] over each passage, of the numbers that are `used`; starts ascend.
 
     Passages overlap, so the terms between neighbouring borders are added up once and the passages from these.
     """
     if not len(start):
         return np.zeros((0, rows.shape[1]), np.float32)
     border = np.unique(np.concatenate([start, end]))
-    kept = np.flatnonzero(numbers[border[0] : border[-1]] < size) + border[0]
+    kept = np.flatnonzero(used[numbers[border[0] : border[-1]]]) + border[0]
     at = np.searchsorted(kept, border)
     own = np.concatenate([rows[numbers[kept]], np.zeros((1, rows.shape[1]), rows.dtype)])
     part = np.add.reduceat(own, at, axis=0)[:-1]
@@ -226,19 +239,20 @@ def basis_of(seqs: DataFrame, idf: np.ndarray, length: int, rank: int, oversampl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weighted = G * idf[:, None].astype(np.float32)
+        used = np.append(idf > 0, False)
         total = np.zeros((size, width))
         for batch in batches:
             for _, numbers, counts in _numbers(batch):
                 _, start, end = passages(counts, length, length)
-                y = np.concatenate([_sums(numbers, size, weighted, start[a : a + 2048], end[a : a + 2048]) for a in range(0, len(start), 2048)] or [np.zeros((0, width), np.float32)])
+                y = np.concatenate([_sums(numbers, used, weighted, start[a : a + 2048], end[a : a + 2048]) for a in range(0, len(start), 2048)] or [np.zeros((0, width), np.float32)])
                 # A'y: each term's sum of its passages' rows; these passages cut the texts without overlap
-                of = np.repeat(np.arange(len(start)), end - start)
-                term = numbers
+                at = np.flatnonzero(used[numbers])
+                of, term = np.repeat(np.arange(len(start)), end - start)[at], numbers[at]
                 order = np.argsort(term, kind="stable")
                 term, of = term[order], of[order]
-                cut = int(np.searchsorted(term, size))
+                cut = len(term)
                 if cut:
-                    first = np.flatnonzero(np.diff(term[:cut], prepend=-1))
+                    first = np.flatnonzero(np.diff(term, prepend=-1))
                     for a in range(0, len(first), 256):
                         lo, hi = first[a], first[a + 256] if a + 256 < len(first) else cut
                         total[term[first[a : a + 256]]] += np.add.reduceat(y[of[lo:hi]], first[a : a + 256] - lo, axis=0)
@@ -274,24 +288,24 @@ def matches(docs: DataFrame, benchmark: DataFrame, length: int = LENGTH, stride:
         return spark.createDataFrame([], schema)
     seqs = common.staged(sequences(docs, bench), "terms")
     df, n = frequencies(seqs, bench.size, length)
-    idf = np.log((1 + n) / (1 + df)).astype(np.float32)
-    basis = basis_of(seqs, idf, length, rank)
-    targets = bench.vectors(idf, basis)
+    idf, weight = weights(bench, df, n)
+    basis = basis_of(seqs, weight, length, rank)
+    targets = bench.vectors(weight, basis)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = basis * idf[:, None]
+        rows, used = basis * weight[:, None], np.append(weight > 0, False)
         for batch in batches:
             for part, numbers, counts in _numbers(batch):
                 text, start, end = passages(counts, length, stride)
                 found = []
                 for lo in range(0, len(start), 4096):
-                    cosine = unit(_sums(numbers, bench.size, rows, start[lo : lo + 4096], end[lo : lo + 4096])) @ targets.T
+                    cosine = unit(_sums(numbers, used, rows, start[lo : lo + 4096], end[lo : lo + 4096])) @ targets.T
                     p, i = np.nonzero(cosine >= near)
                     found.append((p + lo, i, cosine[p, i]))
                 if not found:
                     continue
                 p, i, c = (np.concatenate(x) for x in zip(*found, strict=True))
-                out = check(bench, idf, numbers, counts, text, start, end, p, i, c)
+                out = check(bench, idf, numbers, counts, text, start, end, p, i, c, length)
                 if out:
                     t, item, share, cos = zip(*out, strict=True)
                     take = pa.array(t, pa.int64())
@@ -301,7 +315,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, length: int = LENGTH, stride:
     return seqs.mapInArrow(run, schema).groupBy("doc_id", "item_id").agg(F.max("share").alias("share"), F.max("cosine").alias("cosine"))
 
 
-def check(bench: Benchmark, idf: np.ndarray, numbers: np.ndarray, counts: np.ndarray, text: np.ndarray, start: np.ndarray, end: np.ndarray, p: np.ndarray, i: np.ndarray, cosine: np.ndarray) -> list[tuple]:
+def check(bench: Benchmark, idf: np.ndarray, numbers: np.ndarray, counts: np.ndarray, text: np.ndarray, start: np.ndarray, end: np.ndarray, p: np.ndarray, i: np.ndarray, cosine: np.ndarray, length: int) -> list[tuple]:
     """(text, item, share, cosine) of the verified candidates: passages p for items i."""
     begin = np.cumsum(counts) - counts
     out = []
@@ -312,6 +326,14 @@ def check(bench: Benchmark, idf: np.ndarray, numbers: np.ndarray, counts: np.nda
         if not len(item):
             continue
         own = p[a:b]
+        # a passage that holds few of the item's terms is no part of a copy or paraphrase
+        held = np.zeros(bench.size + 1, bool)
+        held[item] = True
+        at = start[own][:, None] + np.arange(length)
+        some = (held[numbers[np.minimum(at, len(numbers) - 1)]] & (at < end[own][:, None])).sum(axis=1) >= ALIKE * min(len(item), length)
+        if not some.any():
+            continue
+        own, cosines = own[some], cosine[a:b][some]
         lo = np.maximum(start[own] - len(item), begin[text[own]])
         hi = np.minimum(end[own] + len(item), begin[text[own]] + counts[text[own]])
         # neighbouring passages of a text share their span
@@ -319,7 +341,7 @@ def check(bench: Benchmark, idf: np.ndarray, numbers: np.ndarray, counts: np.nda
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(own)) - 1
         ok, best = verified(item, idf, numbers, lo[first], hi[last])
-        top = np.maximum.reduceat(cosine[a:b], first)
+        top = np.maximum.reduceat(cosines, first)
         out += [(int(text[own[f]]), int(i[a]), float(s), float(c)) for f, s, c, good in zip(first, best, top, ok, strict=True) if good]
     return out
 
