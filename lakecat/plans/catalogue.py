@@ -1,4 +1,606 @@
-"""Registry of the catalog queries and their SQL."""
+"""Registry of the catalog queries: each binds an operator to the driver's tables, and beside it stands the SQL it must equal."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lakecat.functions import exprs
+from lakecat.operators import audit as logs
+from lakecat.operators import checksums, governance, lifecycle, listing, notify, outbox, registry
+from lakecat.operators import parts as manifests
+from lakecat.operators import versions as history
+from lakecat.sources import adapters
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+#: The adapters' frames for DuckDB.
+VIEWS = {
+    "docs_o": """SELECT source AS bucket, lang || '/' || source || '/' || doc_id AS key, n_chars AS size, '"' || md5(coalesce(text, '')) || '"' AS etag,
+        coalesce(text, '') AS content, doc_id FROM documents""",
+    "pages_o": """SELECT page_id, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS bucket, regexp_extract(url, '^[a-z]+://[^/]+/(.*)$', 1) AS key,
+        length(html) AS size FROM pages""",
+    "orders_o": """SELECT 'c' || (o_custkey % 7) AS bucket, o_orderpriority || '/' || o_orderkey AS key, floor(o_totalprice)::BIGINT AS size,
+        CASE WHEN o_orderstatus = 'P' THEN 'PENDING' ELSE 'COMPLETED' END AS upload_status, o_orderdate AS created_at, o_orderstatus AS status,
+        o_orderkey AS object_id, lpad(o_orderkey::VARCHAR, 10, '0') AS upload_id FROM orders""",
+    "versions_o": """SELECT 'b' || (user_id % 5) AS bucket, 'u/' || user_id AS key, lpad(event_id::VARCHAR, 12, '0') AS version_id, ts AS last_modified,
+        event_type = 'error' AS is_delete_marker, floor(value * 100)::BIGINT AS size FROM events""",
+    "daily_o": """SELECT bucket, key || '/' || strftime(last_modified, '%Y-%m-%d') AS key, version_id, last_modified, is_delete_marker, size FROM versions_o""",
+    "parts_o": """SELECT l_orderkey AS object_id, l_partkey AS part_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_discount,
+        l_extendedprice, l_linestatus, l_partkey, l_quantity, l_returnflag, l_shipdate, l_suppkey, l_tax) AS sequence_number, l_quantity::BIGINT AS size FROM lineitem""",
+    "outbox_o": """SELECT event_id AS id, user_id AS part_id, CASE WHEN event_type = 'error' THEN 'DELETE' ELSE 'PUT' END AS operation, ts AS next_attempt_at,
+        'b' || (user_id % 5) AS bucket, CASE WHEN event_id % 50 = 0 THEN '' ELSE 'u/' || user_id END AS key, (event_id % 12)::INT AS attempts FROM events""",
+    "audit_o": """SELECT event_id AS id, ts, event_type AS operation, coalesce(nullif(user_id % 10, 0)::VARCHAR, 'anonymous') AS actor,
+        CASE event_type WHEN 'error' THEN 'error' WHEN 'view' THEN 'denied' ELSE 'success' END AS outcome,
+        CASE WHEN event_id % 97 = 0 THEN 'timeout' ELSE '' END AS error, user_id FROM events""",
+    "notif_o": """SELECT event_id AS id, 's3:' || CASE event_type WHEN 'signup' THEN 'ObjectCreated:Put' WHEN 'purchase' THEN 'ObjectCreated:Copy' WHEN 'click' THEN
+        'ObjectTagging:Put' WHEN 'view' THEN 'ObjectTagging:Delete' WHEN 'error' THEN 'ObjectRemoved:Delete' END AS event_name, 'b' || (user_id % 5) AS bucket,
+        CASE WHEN event_id % 2 = 0 THEN 'images/' ELSE 'docs/' END || user_id || CASE WHEN event_id % 3 = 0 THEN '.jpg' ELSE '.txt' END AS key,
+        floor(value * 100)::BIGINT AS size, ts FROM events""",
+    "history_o": """SELECT *, coalesce(sum(CASE WHEN n > 1 AND NOT is_delete_marker THEN 1 ELSE 0 END) OVER (PARTITION BY bucket, key ORDER BY n
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS newer, n = 1 AS is_latest
+        FROM (SELECT *, row_number() OVER w AS n, lag(last_modified) OVER w AS noncurrent_since FROM versions_o
+              WINDOW w AS (PARTITION BY bucket, key ORDER BY last_modified DESC, version_id DESC))""",
+}
+
+
+def sql(body: str) -> str:
+    """The query with the views that it names, and those that these name, as common table expressions."""
+    wanted: list[str] = []
+
+    def want(text: str) -> None:
+        for name in VIEWS:
+            if name in text and name not in wanted:
+                want(VIEWS[name])
+                wanted.append(name)
+
+    want(body)
+    views = ",\n".join(f"{n} AS ({VIEWS[n]})" for n in wanted)
+    body = body.strip()
+    if not views:
+        return body
+    return f"WITH {views}, {body[5:]}" if body.upper().startswith("WITH ") else f"WITH {views}\n{body}"
+
+
+def query(oracle: str | None = None):
+    """Register a function under its name, with its SQL."""
+
+    def put(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLE[f.__name__] = sql(oracle)
+        return f
+
+    return put
+
+
+
+def at(moment: str):
+    return F.lit(moment).cast("timestamp_ntz")
+
+
+#: The time of the sweeps.
+NOW, NOW_VERSIONS = "2001-06-01 00:00:00", "2024-01-25 12:00:00"
+
+# --- listings
+
+
+@query("""SELECT bucket, key, size, 'STANDARD' AS storage_class, rank, more AS is_truncated FROM (
+    SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY key) AS rank, count(*) OVER (PARTITION BY bucket) > 20 AS more
+    FROM orders_o WHERE starts_with(key, '1-') AND key > '1-URGENT/2' AND upload_status = 'COMPLETED') WHERE rank <= 20""")
+def list_prefix_topk(spark, sf):
+    page = listing.list_objects(adapters.objects_orders(spark, sf), prefix="1-", start_after="1-URGENT/2", page=20)
+    return page.select("bucket", "key", "size", exprs.storage_class(F.col("storage_class")).alias("storage_class"), F.col("rank").cast("long").alias("rank"), "is_truncated")
+
+
+@query("""SELECT DISTINCT bucket, string_split(key, '/')[1] || '/' AS common_prefix FROM pages_o WHERE contains(key, '/')""")
+def list_delim_prefixes(spark, sf):
+    return listing.common_prefixes(adapters.objects_pages(spark, sf))
+
+
+@query("""SELECT bucket, count(*) AS n_keys, count(*) FILTER (NOT contains(key, '/')) AS n_contents,
+    count(DISTINCT CASE WHEN contains(key, '/') THEN string_split(key, '/')[1] END) AS n_prefixes, count(*) > 3 AS is_truncated FROM pages_o GROUP BY bucket""")
+def list_delim_summary(spark, sf):
+    return listing.delimited_summary(adapters.objects_pages(spark, sf), page=3)
+
+
+@query("""WITH units AS (
+      SELECT bucket, NULL AS common_prefix, key, version_id FROM daily_o WHERE len(string_split(key, '/')) <= 2
+      UNION ALL SELECT bucket, string_split(key, '/')[1] || '/' || string_split(key, '/')[2] || '/', min(key), NULL FROM daily_o
+      WHERE len(string_split(key, '/')) > 2 AND key > 'u/11' AND starts_with(key, 'u/') GROUP BY ALL
+    ), ranked AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY key, version_id DESC) AS rank, count(*) OVER (PARTITION BY bucket) > 7 AS is_truncated FROM units)
+    SELECT bucket, common_prefix, key, version_id, rank, is_truncated FROM ranked WHERE rank <= 7""")
+def list_versions_page(spark, sf):
+    page = listing.list_versions(adapters.versions(spark, sf, daily=True), prefix="u/", key_marker="u/11", page=7)
+    return page.select("bucket", "common_prefix", "key", "version_id", F.col("rank").cast("long").alias("rank"), "is_truncated")
+
+
+@query("""SELECT bucket, key, version_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY key, coalesce(nullif(version_id, 'null'), '') DESC) AS rank
+    FROM versions_o WHERE starts_with(key, 'u/1')) WHERE rank <= 50""")
+def list_versions_flat(spark, sf):
+    page = listing.list_versions(adapters.versions(spark, sf), prefix="u/1", delimiter="#", page=50)
+    return page.select("bucket", "key", "version_id", F.col("rank").cast("long").alias("rank"))
+
+
+@query("""SELECT bucket, key, upload_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY key, upload_id) AS rank FROM orders_o
+    WHERE upload_status = 'PENDING' AND (key > '2-HIGH/1' OR (key = '2-HIGH/1' AND upload_id > '0000000005'))) WHERE rank <= 15""")
+def list_uploads_page(spark, sf):
+    page = listing.list_uploads(adapters.objects_orders(spark, sf), key_marker="2-HIGH/1", upload_marker="0000000005", page=15)
+    return page.select("bucket", "key", "upload_id", F.col("rank").cast("long").alias("rank"))
+
+
+@query("""SELECT object_id, part_id, sequence_number::INT AS sequence_number, size, n > 3 AS is_truncated FROM (
+    SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY sequence_number) AS r, count(*) OVER (PARTITION BY object_id) AS n FROM parts_o
+    WHERE sequence_number > 1) WHERE r <= 3""")
+def list_parts_page(spark, sf):
+    return listing.list_parts(adapters.parts(spark, sf), marker=1, page=3)
+
+
+@query("""SELECT bucket, key, o.size, status, n_parts, parts_size, last_part FROM orders_o o LEFT JOIN (SELECT object_id, count(*) AS n_parts,
+    sum(size)::BIGINT AS parts_size, max(sequence_number) AS last_part FROM parts_o GROUP BY object_id) p USING (object_id)""")
+def head_object_full(spark, sf):
+    heads = listing.head_objects(adapters.objects_orders(spark, sf), adapters.parts(spark, sf))
+    return heads.select("bucket", "key", "size", F.element_at("tags", "status").alias("status"), "n_parts", "parts_size", "last_part")
+
+
+@query("""SELECT n_name AS name, coalesce(r_name, 'default') AS storage FROM nation LEFT JOIN (SELECT * FROM region WHERE r_regionkey < 4) ON n_regionkey = r_regionkey
+    UNION ALL SELECT s_name, 'default' FROM supplier""")
+def bucket_union_routed(spark, sf):
+    nations = adapters.table(spark, sf, "nation").select(F.col("n_name").alias("name"), F.col("n_regionkey").alias("route_key"))
+    suppliers = adapters.table(spark, sf, "supplier").select(F.col("s_name").alias("name"), F.lit(None).cast("int").alias("route_key"))
+    routes = adapters.table(spark, sf, "region").where("r_regionkey < 4").select(F.col("r_regionkey").alias("route_key"), F.col("r_name").alias("storage"))
+    return listing.routed_buckets(listing.fan_out_listing([nations, suppliers]), routes, "default")
+
+
+@query("""SELECT n_nationkey FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier)""")
+def bucket_emptiness(spark, sf):
+    buckets = adapters.table(spark, sf, "nation").select(F.col("n_nationkey").alias("bucket"))
+    return listing.emptiness(buckets, adapters.table(spark, sf, "supplier").select(F.col("s_nationkey").alias("bucket"))).select(F.col("bucket").alias("n_nationkey"))
+
+
+@query("""SELECT bucket, key, doc_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY key) AS rank FROM docs_o
+    WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND toxic = 0)) WHERE rank <= 5""")
+def authorized_listing(spark, sf):
+    allowed = adapters.table(spark, sf, "labels").where("quality = 1 AND toxic = 0")
+    page = listing.authorized(adapters.objects_docs(spark, sf), allowed, "doc_id", 5)
+    return page.select("bucket", "key", "doc_id", F.col("rank").cast("long").alias("rank"))
+
+
+# --- versions
+
+
+@query("""SELECT bucket, key, last_modified, version_id, is_delete_marker, size, n_versions FROM (SELECT *, count(*) OVER (PARTITION BY bucket, key) AS n_versions,
+    row_number() OVER (PARTITION BY bucket, key ORDER BY last_modified DESC, version_id DESC) AS n FROM versions_o) WHERE n = 1""")
+def latest_versions(spark, sf):
+    return history.latest(adapters.versions(spark, sf))
+
+
+@query("""SELECT bucket, key, version_id, last_modified, is_delete_marker, size FROM history_o WHERE n = 2""")
+def promote_after_delete(spark, sf):
+    return history.promoted(adapters.versions(spark, sf))
+
+
+@query("""SELECT bucket, key, version_id, is_delete_marker, is_latest, noncurrent_since, newer FROM history_o""")
+def noncurrent_windows(spark, sf):
+    return history.noncurrent(adapters.versions(spark, sf)).select("bucket", "key", "version_id", "is_delete_marker", "is_latest", "noncurrent_since", "newer")
+
+
+def _commands(spark, sf):
+    return adapters.versions(spark, sf).select("bucket", "key", F.col("version_id").cast("long").alias("id"), F.when(F.col("is_delete_marker"), "DELETE").otherwise("PUT").alias("op"), "size")
+
+
+@query("""SELECT bucket, key, 'null' AS version_id, size FROM (SELECT *, row_number() OVER (PARTITION BY bucket, key ORDER BY version_id DESC) AS n FROM versions_o)
+    WHERE n = 1 AND NOT is_delete_marker""")
+def fold_unversioned(spark, sf):
+    return history.fold(_commands(spark, sf), "disabled").select("bucket", "key", "version_id", "size")
+
+
+@query("""SELECT bucket, key, version_id::BIGINT::VARCHAR AS version_id, is_delete_marker, version_id = max(version_id) OVER (PARTITION BY bucket, key) AS is_latest FROM versions_o""")
+def fold_versioned(spark, sf):
+    return history.fold(_commands(spark, sf), "enabled").select("bucket", "key", "version_id", "is_delete_marker", "is_latest")
+
+
+@query("""SELECT bucket, key, is_delete_marker, size FROM (SELECT *, row_number() OVER (PARTITION BY bucket, key ORDER BY version_id DESC) AS n FROM versions_o) WHERE n = 1""")
+def fold_suspended(spark, sf):
+    return history.fold(_commands(spark, sf), "suspended").select("bucket", "key", "is_delete_marker", "size")
+
+
+@query("""SELECT o_custkey AS id, o_orderstatus AS state FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS n FROM orders) WHERE n = 1 AND o_orderstatus <> 'P'
+    UNION ALL SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""")
+def merge_delta(spark, sf):
+    base = adapters.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("state"))
+    last = adapters.table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.max_by("o_orderstatus", "o_orderkey").alias("state"))
+    return history.merge_delta(base, last.withColumn("deleted", F.col("state") == "P"), ["id"])
+
+
+# --- lifecycle
+
+_RULES = [
+    {"bucket": "c0", "rule_pos": 0, "id": "old", "exp_days": 365},
+    {"bucket": "c0", "rule_pos": 1, "id": "older", "exp_days": 900},
+    {"bucket": "c1", "rule_pos": 0, "id": "urgent", "prefix": "1-URGENT/", "exp_days": 30, "size_gt": 100000, "size_lt": 300000},
+    {"bucket": "c2", "rule_pos": 0, "id": "date", "exp_date": "2001-01-01"},
+    {"bucket": "c2", "rule_pos": 1, "id": "future", "exp_date": "2099-01-01"},
+    {"bucket": "c3", "rule_pos": 0, "id": "tagged", "tag_key": "status", "tag_value": "F", "exp_days": 100, "transitions": [(30, None, "GLACIER")]},
+    {"bucket": "c4", "rule_pos": 0, "id": "tiers", "transitions": [(30, None, "STANDARD_IA"), (900, None, "GLACIER"), (900, None, "DEEP_ARCHIVE")]},
+    {"bucket": "c4", "rule_pos": 1, "id": "low", "prefix": "5-LOW/", "transitions": [(1500, None, "DEEP_ARCHIVE")]},
+    {"bucket": "c5", "rule_pos": 0, "id": "abort", "abort_days": 7},
+    {"bucket": "c6", "rule_pos": 0, "id": "both", "prefix": "2", "abort_days": 400, "exp_days": 1200, "transitions": [(10, None, "GLACIER")]},
+]
+_VALUES = """rules(bucket, rule_pos, id, prefix, size_gt, size_lt, tag, days, date) AS (VALUES
+    ('c0', 0, 'old', '', NULL, NULL, NULL, 365, NULL::TIMESTAMP), ('c0', 1, 'older', '', NULL, NULL, NULL, 900, NULL), ('c1', 0, 'urgent', '1-URGENT/', 100000, 300000, NULL, 30, NULL),
+    ('c2', 0, 'date', '', NULL, NULL, NULL, NULL, TIMESTAMP '2001-01-01'), ('c2', 1, 'future', '', NULL, NULL, NULL, NULL, TIMESTAMP '2099-01-01'),
+    ('c3', 0, 'tagged', '', NULL, NULL, 'F', 100, NULL), ('c6', 0, 'both', '2', NULL, NULL, NULL, 1200, NULL)),
+  moves(bucket, rule_pos, t_pos, id, prefix, tag, days, to_class) AS (VALUES ('c3', 0, 0, 'tagged', '', 'F', 30, 'GLACIER'), ('c4', 0, 0, 'tiers', '', NULL, 30, 'STANDARD_IA'),
+    ('c4', 0, 1, 'tiers', '', NULL, 900, 'GLACIER'), ('c4', 0, 2, 'tiers', '', NULL, 900, 'DEEP_ARCHIVE'), ('c4', 1, 0, 'low', '5-LOW/', NULL, 1500, 'DEEP_ARCHIVE'), ('c6', 0, 0, 'both', '2', NULL, 10, 'GLACIER')),
+  stops(bucket, prefix, days) AS (VALUES ('c5', '', 7), ('c6', '2', 400)),
+  expire AS (SELECT bucket, key, min_by(id, rule_pos) AS rule_id, min_by(due, rule_pos) AS due FROM (
+      SELECT o.bucket, key, rule_pos, id, coalesce(date_trunc('day', created_at + to_days(days)) + INTERVAL 1 DAY, date) AS due FROM orders_o o JOIN rules r ON o.bucket = r.bucket
+        AND starts_with(key, prefix) AND (size_gt IS NULL OR size > size_gt) AND (size_lt IS NULL OR size < size_lt) AND (tag IS NULL OR tag = status) AND upload_status = 'COMPLETED')
+      WHERE due <= TIMESTAMP '2001-06-01' GROUP BY ALL),
+  move AS (SELECT bucket, key, id AS rule_id, to_class, due FROM (SELECT *, row_number() OVER (PARTITION BY bucket, key ORDER BY due DESC, rule_pos, t_pos) AS n FROM (
+      SELECT o.bucket, key, rule_pos, t_pos, id, to_class, date_trunc('day', created_at + to_days(days)) + INTERVAL 1 DAY AS due FROM orders_o o JOIN moves m ON o.bucket = m.bucket
+        AND starts_with(key, prefix) AND (tag IS NULL OR tag = status) AND upload_status = 'COMPLETED') WHERE due <= TIMESTAMP '2001-06-01') WHERE n = 1),
+  stop AS (SELECT bucket, key, upload_id, min(due) AS due FROM (SELECT o.bucket, key, upload_id, date_trunc('day', created_at + to_days(days)) + INTERVAL 1 DAY AS due
+      FROM orders_o o JOIN stops s ON o.bucket = s.bucket AND starts_with(key, prefix) AND upload_status = 'PENDING') WHERE due <= TIMESTAMP '2001-06-01' GROUP BY ALL)"""
+
+
+def _rules(spark):
+    import datetime
+
+    asked = [r | ({"exp_date": datetime.datetime.fromisoformat(r["exp_date"])} if "exp_date" in r else {}) for r in _RULES]
+    return lifecycle.rules_frame(spark, asked)
+
+
+@query(f"WITH {_VALUES} SELECT bucket, key, rule_id, due FROM expire")
+def lifecycle_expire(spark, sf):
+    return lifecycle.expirations(adapters.objects_orders(spark, sf), _rules(spark), at(NOW))
+
+
+@query(f"WITH {_VALUES} SELECT bucket, key, rule_id, to_class, due FROM move")
+def lifecycle_transition_pick(spark, sf):
+    return lifecycle.transitions(adapters.objects_orders(spark, sf), _rules(spark), at(NOW))
+
+
+@query(f"WITH {_VALUES} SELECT bucket, key, upload_id, due FROM stop")
+def lifecycle_abort_uploads(spark, sf):
+    return lifecycle.aborts(adapters.objects_orders(spark, sf), _rules(spark), at(NOW))
+
+
+@query(f"""WITH {_VALUES} SELECT bucket, key, action, detail FROM (SELECT *, row_number() OVER (PARTITION BY bucket, key ORDER BY priority, action, detail) AS n FROM (
+    SELECT bucket, key, 1 AS priority, 'EXPIRE' AS action, '' AS detail FROM expire UNION ALL SELECT bucket, key, 5, 'TRANSITION', to_class FROM move
+    UNION ALL SELECT bucket, key, 6, 'ABORT', upload_id FROM stop)) WHERE n = 1""")
+def lifecycle_action_plan(spark, sf):
+    return lifecycle.plan(adapters.objects_orders(spark, sf), _rules(spark), at(NOW))
+
+
+_VERSION_RULES = [
+    {"bucket": "b0", "rule_pos": 0, "id": "one", "nc_days": 3, "nc_newer": 1, "expired_markers": True},
+    {"bucket": "b1", "rule_pos": 0, "id": "any", "nc_days": 10, "nc_transitions": [(2, None, "STANDARD_IA"), (6, 2, "GLACIER")]},
+    {"bucket": "b2", "rule_pos": 0, "id": "some", "prefix": "u/1", "nc_days": 1, "nc_newer": 5, "expired_markers": True},
+    {"bucket": "b2", "rule_pos": 1, "id": "big", "size_gt": 5000, "nc_days": 8, "nc_transitions": [(1, None, "GLACIER")]},
+]
+
+
+@query("""SELECT bucket, key, n_markers FROM (SELECT bucket, key, count(*) AS n_markers FROM daily_o GROUP BY ALL HAVING bool_and(is_delete_marker))
+    WHERE bucket = 'b0' OR bucket = 'b2' AND starts_with(key, 'u/1')""")
+def lifecycle_delete_markers(spark, sf):
+    return lifecycle.expired_markers(adapters.versions(spark, sf, daily=True), lifecycle.rules_frame(spark, _VERSION_RULES))
+
+
+@query("""WITH r(bucket, rule_pos, prefix, size_gt, days, newer) AS (VALUES ('b0', 0, '', -1, 3, 1), ('b1', 0, '', -1, 10, -1), ('b2', 0, 'u/1', -1, 1, 5), ('b2', 1, '', 5000, 8, -1))
+    SELECT bucket, key, version_id, min(rule_pos)::INT AS rule_pos, min(due) AS due FROM (SELECT h.*, rule_pos, date_trunc('day', noncurrent_since + to_days(days)) + INTERVAL 1 DAY AS due
+      FROM history_o h JOIN r ON h.bucket = r.bucket AND starts_with(key, prefix) AND (r.size_gt < 0 OR size > r.size_gt) AND h.newer > r.newer WHERE NOT is_latest AND NOT is_delete_marker)
+    WHERE due <= TIMESTAMP '2024-01-25 12:00:00' GROUP BY bucket, key, version_id""")
+def lifecycle_noncurrent_expire(spark, sf):
+    return lifecycle.noncurrent_expirations(adapters.versions(spark, sf), lifecycle.rules_frame(spark, _VERSION_RULES), at(NOW_VERSIONS))
+
+
+@query("""WITH r(bucket, rule_pos, t_pos, size_gt, days, newer, to_class) AS (VALUES ('b1', 0, 0, -1, 2, -1, 'STANDARD_IA'), ('b1', 0, 1, -1, 6, 2, 'GLACIER'), ('b2', 1, 0, 5000, 1, -1, 'GLACIER'))
+    SELECT bucket, key, version_id, to_class, due FROM (SELECT *, row_number() OVER (PARTITION BY bucket, key, version_id ORDER BY due DESC, rule_pos, t_pos) AS pick FROM (
+      SELECT h.bucket, key, version_id, rule_pos, t_pos, to_class, date_trunc('day', noncurrent_since + to_days(days)) + INTERVAL 1 DAY AS due
+      FROM history_o h JOIN r ON h.bucket = r.bucket AND (r.size_gt < 0 OR size > r.size_gt) AND h.newer > r.newer WHERE NOT is_latest AND NOT is_delete_marker)
+    WHERE due <= TIMESTAMP '2024-01-25 12:00:00') WHERE pick = 1""")
+def lifecycle_noncurrent_transition(spark, sf):
+    return lifecycle.noncurrent_transitions(adapters.versions(spark, sf), lifecycle.rules_frame(spark, _VERSION_RULES), at(NOW_VERSIONS))
+
+
+# --- parts
+
+
+@query("""SELECT object_id, part_id, sequence_number::INT AS sequence_number, greatest(30 - start, 0)::BIGINT AS skip, (least(90, stop) - greatest(30, start))::BIGINT AS take FROM (
+    SELECT *, stop - size AS start FROM (SELECT *, sum(size) OVER (PARTITION BY object_id ORDER BY sequence_number)::BIGINT AS stop FROM parts_o)) WHERE start < 90 AND stop > 30""")
+def range_to_parts(spark, sf):
+    return manifests.slices(adapters.parts(spark, sf), 30, 90).select("object_id", "part_id", "sequence_number", "skip", "take")
+
+
+@query("""SELECT object_id, coalesce(n, 0)::BIGINT AS n_parts, coalesce(s, 0)::BIGINT AS parts_size, coalesce(lo = 1 AND hi = n AND d = n, true) AS contiguous, coalesce(s, 0) = o.size AS complete
+    FROM orders_o o LEFT JOIN (SELECT l_orderkey AS object_id, count(*) AS n, sum(l_quantity::BIGINT) AS s, min(l_linenumber) AS lo, max(l_linenumber) AS hi, count(DISTINCT l_linenumber) AS d
+      FROM lineitem GROUP BY 1) USING (object_id)""")
+def manifest_check(spark, sf):
+    lines = adapters.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("object_id"), F.col("l_linenumber").alias("sequence_number"), F.col("l_quantity").cast("long").alias("size"))
+    return manifests.manifest(adapters.objects_orders(spark, sf), lines)
+
+
+def _stored(spark, sf):
+    return adapters.upload_parts(spark, sf).select("object_id", "part_number", F.md5(F.col("content").cast("binary")).alias("etag"))
+
+
+@query("""WITH stored AS (SELECT conv_id AS object_id, turn + 1 AS part_number, md5(coalesce(text, '')) AS etag FROM conversations),
+    declared AS (SELECT object_id, part_number, CASE WHEN object_id % 7 = 1 AND part_number = 1 THEN 'x' ELSE etag END AS etag, CASE WHEN object_id % 5 = 2 THEN -part_number ELSE part_number END AS pos
+      FROM stored WHERE NOT (object_id % 11 = 3 AND part_number = 2)),
+    ordered AS (SELECT *, lag(part_number) OVER (PARTITION BY object_id ORDER BY pos) AS before FROM declared),
+    sums AS (SELECT coalesce(d.object_id, s.object_id) AS object_id, coalesce(bool_or(before >= d.part_number), false) AS out_of_order, count(*) FILTER (s.etag IS NULL) AS n_missing,
+      count(*) FILTER (d.etag IS NULL) AS n_omitted, count(*) FILTER (d.etag <> s.etag) AS n_mismatched FROM ordered d FULL JOIN stored s ON d.object_id = s.object_id AND d.part_number = s.part_number GROUP BY 1)
+    SELECT *, CASE WHEN out_of_order THEN 'InvalidPartOrder' WHEN n_missing + n_omitted + n_mismatched > 0 THEN 'InvalidPart' ELSE 'ok' END AS verdict FROM sums""")
+def multipart_declared_check(spark, sf):
+    stored = _stored(spark, sf)
+    declared = stored.where("NOT (object_id % 11 = 3 AND part_number = 2)").select(
+        "object_id", "part_number",
+        F.when((F.col("object_id") % 7 == 1) & (F.col("part_number") == 1), "x").otherwise(F.col("etag")).alias("etag"),
+        F.when(F.col("object_id") % 5 == 2, -F.col("part_number")).otherwise(F.col("part_number")).alias("pos"),
+    )
+    return manifests.check_declared(stored, declared)
+
+
+@query("""SELECT conv_id AS object_id, '"' || md5(unhex(string_agg(md5(coalesce(text, '')), '' ORDER BY turn))) || '-' || count(*) || '"' AS etag, count(*) AS n_parts,
+    sum(strlen(coalesce(text, '')))::BIGINT AS size FROM conversations GROUP BY conv_id""")
+def multipart_etag(spark, sf):
+    return manifests.multipart_etag(adapters.upload_parts(spark, sf))
+
+
+@query("""SELECT conv_id AS object_id, base64(unhex(sha256(unhex(string_agg(sha256(coalesce(text, '')), '' ORDER BY turn))))) AS sha256,
+    base64(unhex(sha1(unhex(string_agg(sha1(coalesce(text, '')), '' ORDER BY turn))))) AS sha1 FROM conversations GROUP BY conv_id""")
+def composite_checksums(spark, sf):
+    return manifests.composite_digests(adapters.upload_parts(spark, sf)).select("object_id", "sha256", "sha1")
+
+
+@query("""SELECT doc_id, md5(coalesce(text, '')) AS md5, sha1(coalesce(text, '')) AS sha1, sha256(coalesce(text, '')) AS sha256 FROM documents""")
+def part_digests(spark, sf):
+    return checksums.digests(adapters.objects_docs(spark, sf)).select("doc_id", "md5", "sha1", "sha256")
+
+
+@query()
+def cyclic_checksums(spark, sf):
+    """Full-object CRC-32, CRC-32C and CRC-64/NVME combined from the parts' own."""
+    parts = adapters.upload_parts(spark, sf).withColumn("data", F.col("content").cast("binary"))
+    out = None
+    for kind in checksums.POLYNOMIALS:
+        own = parts.select("object_id", "part_number", checksums.crc_column(kind)("data").alias("checksum"), F.octet_length("content").cast("long").alias("size"))
+        whole = checksums.full_object(own, kind).withColumnRenamed("checksum", kind)
+        out = whole if out is None else out.join(whole, "object_id")
+    return out
+
+
+# --- registry
+
+
+@query("SELECT l_partkey AS part_id, count(*) AS refs FROM lineitem GROUP BY 1")
+def registry_refcounts(spark, sf):
+    return registry.ref_counts(adapters.parts(spark, sf))
+
+
+@query("""SELECT * FROM (SELECT coalesce(r.part_id, p.p_partkey) AS part_id, CASE WHEN p_partkey IS NULL THEN 'INSERT' WHEN refs IS NULL THEN 'DELETE' WHEN refs <> p_size THEN 'UPDATE' END AS action,
+    coalesce(refs, 0) AS refs, coalesce(p_size, 0)::BIGINT AS ref_count FROM (SELECT l_partkey AS part_id, count(*) AS refs FROM lineitem WHERE l_partkey % 9 <> 0 GROUP BY 1) r
+    FULL JOIN part p ON r.part_id = p.p_partkey) WHERE action IS NOT NULL""")
+def registry_reconcile(spark, sf):
+    parts = adapters.parts(spark, sf).where("part_id % 9 <> 0")
+    return registry.reconcile(parts, adapters.part_registry(spark, sf))
+
+
+@query("""SELECT p_partkey AS part_id, CASE WHEN p_size - 10 + coalesce(d, 0) >= 0 AND p_size - 10 > 0 AND d IS NOT NULL THEN p_size - 10 + d ELSE p_size - 10 END::BIGINT AS ref_count,
+    coalesce(p_size - 10 > 0 AND p_size - 10 + d >= 0, d IS NULL) AS applied
+    FROM part LEFT JOIN (SELECT l_partkey, sum(CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END) AS d FROM lineitem GROUP BY 1) ON p_partkey = l_partkey""")
+def registry_deltas(spark, sf):
+    held = adapters.part_registry(spark, sf).withColumn("ref_count", F.col("ref_count") - 10)
+    deltas = adapters.table(spark, sf, "lineitem").select(F.col("l_partkey").alias("part_id"), F.when(F.col("l_returnflag") == "R", -1).otherwise(1).alias("delta"))
+    return registry.apply_deltas(held, deltas)
+
+
+@query("SELECT p_partkey AS part_id FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 45) AND p_size <> 0")
+def gc_orphans(spark, sf):
+    big = adapters.parts(spark, sf).where("size > 45")
+    return registry.orphans(adapters.part_registry(spark, sf).select("part_id"), big)
+
+
+def _blobs(spark, sf):
+    return checksums.digests(adapters.objects_docs(spark, sf)).select(F.col("doc_id").alias("part_id"), "sha256", "size", "etag", "crc32")
+
+
+@query("""SELECT sha256(content) AS sha256, size, min(doc_id) AS part_id, min(etag) AS etag, count(*) AS copies FROM docs_o GROUP BY 1, 2""")
+def dedup_backfill(spark, sf):
+    return registry.dedup_index(_blobs(spark, sf)).drop("crc32")
+
+
+@query("""SELECT doc_id AS part_id, shared_id FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256(content), size) AS shared_id FROM docs_o) WHERE doc_id <> shared_id""")
+def dedup_lookup(spark, sf):
+    blobs = _blobs(spark, sf)
+    return registry.dedup_lookup(blobs, registry.dedup_index(blobs))
+
+
+@query("""SELECT min(doc_id) AS part_id, sha256(content) AS sha256 FROM docs_o GROUP BY 2, size HAVING min(doc_id) NOT IN (SELECT doc_id FROM labels WHERE quality = 1)""")
+def dedup_prune_dead(spark, sf):
+    live = adapters.table(spark, sf, "labels").where("quality = 1").select(F.col("doc_id").alias("part_id"))
+    return registry.prune_index(registry.dedup_index(_blobs(spark, sf)), live).select("part_id", "sha256")
+
+
+# --- outbox and notifications
+
+
+@query("SELECT part_id, max(id) AS id, max_by(operation, id) AS operation FROM outbox_o GROUP BY 1")
+def outbox_last_per_part(spark, sf):
+    return outbox.last_entries(adapters.outbox(spark, sf))
+
+
+@query("""WITH last_ AS (SELECT part_id, max_by(operation, id) AS operation FROM outbox_o GROUP BY 1)
+    SELECT c_custkey AS part_id FROM customer WHERE c_custkey NOT IN (SELECT part_id FROM last_ WHERE operation = 'DELETE') UNION SELECT part_id FROM last_ WHERE operation = 'PUT'""")
+def outbox_overlay(spark, sf):
+    return outbox.overlay(adapters.table(spark, sf, "customer").select(F.col("c_custkey").alias("part_id")), adapters.outbox(spark, sf))
+
+
+@query("""SELECT id, part_id, operation, next_attempt_at FROM outbox_o WHERE next_attempt_at <= TIMESTAMP '2024-01-25 12:00:00' ORDER BY next_attempt_at, id LIMIT 100""")
+def outbox_claim_batch(spark, sf):
+    return outbox.claim_batch(adapters.outbox(spark, sf), at(NOW_VERSIONS), 100).select("id", "part_id", "operation", "next_attempt_at")
+
+
+@query("""SELECT bucket, key, least(min(id), any_value(w_first)) AS first_id, greatest(max(id), any_value(w_last)) AS last_id FROM outbox_o
+    LEFT JOIN (SELECT bucket, min(id) AS w_first, max(id) AS w_last FROM outbox_o WHERE key = '' GROUP BY 1) USING (bucket) WHERE key <> '' GROUP BY 1, 2""")
+def outbox_scope_heads(spark, sf):
+    return outbox.scope_heads(adapters.outbox(spark, sf))
+
+
+@query("""SELECT id, attempts, CASE WHEN attempts < 10 THEN least(pow(2, greatest(attempts, 1) - 1), 300)::BIGINT END AS delay_seconds, attempts >= 10 AS dead FROM outbox_o""")
+def notify_backoff(spark, sf):
+    return outbox.retries(adapters.outbox(spark, sf), most=300, max_attempts=10)
+
+
+@query("SELECT count(*) FILTER (attempts < 10) AS pending, count(*) FILTER (attempts >= 10) AS dead_lettered FROM outbox_o")
+def notify_pending(spark, sf):
+    return outbox.retries(adapters.outbox(spark, sf), 300, 10).agg(F.count_if(~F.col("dead")).alias("pending"), F.count_if("dead").alias("dead_lettered"))
+
+
+_ROUTES = [
+    ("b0", 0, "queue", ["s3:ObjectCreated:*"], ["images/"], [".jpg"]),
+    ("b0", 1, "topic", ["s3:ObjectCreated:Put", "s3:ObjectRemoved:*"], None, None),
+    ("b1", 0, "hook", ["s3:ObjectTagging:*"], ["docs/", "docs/1"], None),
+    ("b2", 0, "queue", ["s3:ObjectRemoved:Delete"], None, [".txt"]),
+    ("b2", 1, "lambda", ["s3:ObjectRemoved:*"], ["images/"], None),
+]
+
+
+def _routes(spark):
+    return spark.createDataFrame(_ROUTES, notify.RULES)
+
+
+@query("""SELECT id, event_name, bucket, key, destination FROM notif_o JOIN (VALUES
+      ('b0', 'queue', 's3:ObjectCreated:', 'images/', '.jpg'), ('b0', 'topic', 's3:ObjectCreated:Put', '', ''), ('b0', 'topic', 's3:ObjectRemoved:', '', ''),
+      ('b1', 'hook', 's3:ObjectTagging:', 'docs/1', ''), ('b2', 'queue', 's3:ObjectRemoved:Delete', '', '.txt'), ('b2', 'lambda', 's3:ObjectRemoved:', 'images/', '')) r(b, destination, e, p, s)
+    ON bucket = b AND starts_with(event_name, e) AND starts_with(key, p) AND ends_with(key, s) UNION ALL SELECT id, event_name, bucket, key, 'eventbridge' FROM notif_o WHERE bucket = 'b3'""")
+def notify_fanout(spark, sf):
+    return notify.fan_out(adapters.object_events(spark, sf), _routes(spark), ["b3"])
+
+
+@query("SELECT * FROM (VALUES ('b0', 0, 1), ('b2', 0, 1)) t(bucket, first, second)")
+def notify_rule_overlap(spark, sf):
+    return notify.overlaps(_routes(spark))
+
+
+@query("""SELECT id, '{"Records":[{"eventName":"' || substr(event_name, 4) || '","s3":{"bucket":{"name":"' || bucket || '"},"object":{"key":"' || key || '","size":' || size || '}}}]}' AS payload FROM notif_o""")
+def notify_payload(spark, sf):
+    return notify.payload(adapters.object_events(spark, sf))
+
+
+# --- audit
+
+
+@query("""SELECT count(*) AS entries, count(*) FILTER (error <> '' OR outcome = 'error') AS errors, count(*) FILTER (outcome = 'denied') AS denied, count(DISTINCT actor) AS actors,
+    min(ts) AS first, max(ts) AS last FROM audit_o""")
+def audit_stats(spark, sf):
+    return logs.stats(adapters.audit(spark, sf))
+
+
+@query("SELECT operation, actor, count(*) AS entries, count(*) FILTER (error <> '' OR outcome = 'error') AS errors FROM audit_o GROUP BY 1, 2")
+def audit_by_operation_actor(spark, sf):
+    return logs.by_operation_actor(adapters.audit(spark, sf))
+
+
+@query("""SELECT n // 1000 AS block, count(*) AS entries, 0::BIGINT AS breaks, min(n) AS first_n, max(n) AS last_n FROM (SELECT row_number() OVER (ORDER BY ts, id) - 1 AS n FROM audit_o) GROUP BY 1""")
+def audit_chain_check(spark, sf):
+    return logs.breaks(logs.chained(adapters.audit(spark, sf)))
+
+
+@query()
+def audit_merkle_roots(spark, sf):
+    return logs.merkle_roots(logs.chained(adapters.audit(spark, sf)))
+
+
+@query("""SELECT id, user_id, epoch_us(ts) - epoch_us(begun) AS duration_us FROM (SELECT *, last_value(CASE WHEN operation = 'click' THEN ts END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, id
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS begun FROM audit_o WHERE operation IN ('click', 'purchase')) WHERE operation = 'purchase' AND begun IS NOT NULL""")
+def audit_phase_duration(spark, sf):
+    return logs.phase_durations(adapters.audit(spark, sf), "click", "purchase")
+
+
+@query("SELECT ts, 'log' AS entry_type, operation, actor, outcome FROM audit_o")
+def audit_text_round_trip(spark, sf):
+    return logs.from_text(logs.to_text(adapters.audit(spark, sf)))
+
+
+# --- governance
+
+
+@query("""WITH expected AS (SELECT key, CASE WHEN doc_id % 41 = 0 THEN '"x"' ELSE etag END AS etag, CASE WHEN doc_id % 37 = 0 THEN size + 1 ELSE size END AS size FROM docs_o WHERE doc_id % 29 <> 0)
+    SELECT CASE WHEN e.key IS NULL THEN 'unknown' WHEN length(content) <> e.size THEN 'size' WHEN d.etag <> e.etag THEN 'etag' ELSE 'ok' END AS verdict, count(*) AS objects
+    FROM docs_o d LEFT JOIN expected e ON d.key = e.key GROUP BY 1""")
+def integrity_report(spark, sf):
+    objects = adapters.objects_docs(spark, sf)
+    expected = objects.where("doc_id % 29 <> 0").select(
+        "key", F.when(F.col("doc_id") % 41 == 0, '"x"').otherwise(F.col("etag")).alias("etag"), F.when(F.col("doc_id") % 37 == 0, F.col("size") + 1).otherwise(F.col("size")).alias("size")
+    )
+    return governance.report(governance.integrity(objects, expected))
+
+
+@query("SELECT bucket, sum(size)::BIGINT AS total_size, count(*) AS objects FROM docs_o GROUP BY 1")
+def bucket_total_size(spark, sf):
+    return governance.sizes(adapters.objects_docs(spark, sf))
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
+def migration_missing(spark, sf):
+    source = adapters.table(spark, sf, "customer").select("c_custkey", "c_name")
+    return governance.missing(source, adapters.table(spark, sf, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+
+
+@query("""SELECT bucket, key, copied, total, CASE WHEN total > 0 THEN copied * 100 // total ELSE 100 END AS percent FROM (SELECT bucket, key, sum(size) OVER (PARTITION BY bucket ORDER BY key
+    ROWS UNBOUNDED PRECEDING)::BIGINT AS copied, sum(size) OVER (PARTITION BY bucket)::BIGINT AS total FROM docs_o)""")
+def migration_progress(spark, sf):
+    return governance.progress(adapters.objects_docs(spark, sf)).withColumn("percent", F.col("percent").cast("long"))
+
+
+@query("SELECT operation, count(*) AS total, count(*) FILTER (outcome = 'success') AS succeeded, count(*) FILTER (outcome <> 'success') AS failed FROM audit_o GROUP BY 1")
+def api_op_counters(spark, sf):
+    return governance.operation_counters(adapters.audit(spark, sf))
+
+
+@query("SELECT user_id, count(*) AS uses, max(ts) AS last_use, arg_max(event_id, (ts, event_id)) AS last_event FROM events GROUP BY 1")
+def cache_lfu_frequency(spark, sf):
+    return governance.cache_frequency(adapters.table(spark, sf, "events"))
+
+
+@query("""SELECT page_id AS request_id, CASE WHEN starts_with(url, 'https://') AND bucket LIKE 'm.%' THEN 0 WHEN ends_with(bucket, '.example.com') THEN 1 END AS rule_pos
+    FROM pages_o JOIN pages USING (page_id) WHERE starts_with(url, 'https://') AND bucket LIKE 'm.%' OR ends_with(bucket, '.example.com')""")
+def cors_match(spark, sf):
+    pages = adapters.table(spark, sf, "pages")
+    requests = pages.select(F.col("page_id").alias("request_id"), F.lit("web").alias("bucket"), F.regexp_extract("url", "^[a-z]+://[^/]+", 0).alias("origin"), F.lit("GET").alias("method"))
+    rules = spark.createDataFrame([("web", 0, ["https://m.*"], ["GET", "PUT"]), ("web", 1, ["ftp://a", "*.example.com"], ["GET"]), ("web", 2, ["*"], ["POST"])], "bucket string, rule_pos int, origins array<string>, methods array<string>")
+    return governance.first_cors_rule(requests, rules)
+
+
+@query("""SELECT page_id, bucket, key, starts_with(key, 'en/') OR starts_with(key, 'de/') AS redirect, CASE WHEN starts_with(key, 'en/') THEN 'english/' || substr(key, 4)
+    WHEN starts_with(key, 'de/') THEN 'deutsch/' || substr(key, 4) WHEN key = '' OR ends_with(key, '/') THEN key || 'index.html' ELSE key END AS target FROM pages_o""")
+def website_route(spark, sf):
+    rules = spark.createDataFrame([(0, "en/", "english/"), (1, "de/", "deutsch/"), (2, "en/1", "never/")], "rule_pos int, prefix string, replace_with string")
+    return governance.website_route(adapters.objects_pages(spark, sf).select("page_id", "bucket", "key"), rules, "index.html")
+
+
+@query(r"""SELECT bucket, key, length(bucket) BETWEEN 3 AND 63 AND regexp_matches(bucket, '^[a-z0-9]([a-z0-9-]*[a-z0-9])?(\.[a-z0-9]([a-z0-9-]*[a-z0-9])?)*$')
+    AND NOT regexp_matches(bucket, '^\d+\.\d+\.\d+\.\d+$|^(xn--|sthree-)|(-s3alias|--ol-s3)$|--') AS bucket_ok, strlen(key) BETWEEN 1 AND 1024 AS key_ok FROM pages_o""")
+def name_validation(spark, sf):
+    pages = adapters.objects_pages(spark, sf)
+    return pages.select("bucket", "key", exprs.valid_bucket_name(F.col("bucket")).alias("bucket_ok"), exprs.valid_object_key(F.col("key")).alias("key_ok"))
+
+
+@query("""SELECT object_id, size, greatest(size - 500, 0) AS suffix_start, CASE WHEN 100 < size THEN least(100000, size) END AS end_at FROM orders_o""")
+def range_headers(spark, sf):
+    rows = adapters.objects_orders(spark, sf)
+    suffix, middle = exprs.byte_range(F.lit("bytes=-500"), F.col("size")), exprs.byte_range(F.lit("bytes=100-99999"), F.col("size"))
+    return rows.select("object_id", "size", suffix["start"].alias("suffix_start"), middle["end"].alias("end_at"))
+
+
+@query("""SELECT key, etag = (SELECT min(etag) FROM docs_o) AS matches, true AS always FROM docs_o""")
+def preconditions(spark, sf):
+    objects = adapters.objects_docs(spark, sf)
+    least = objects.agg(F.min("etag").alias("wanted"))  # one row
+    return objects.join(F.broadcast(least)).select("key", exprs.if_match(F.col("etag"), F.col("wanted")).alias("matches"), exprs.if_match(F.col("etag"), F.lit("*")).alias("always"))
