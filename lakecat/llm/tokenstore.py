@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from . import common
 
 BLOCK, LEVEL, END = 1 << 16, 3, 0
-_BATCH_BYTES, _CACHE = 4 << 20, 400_000
+_BATCH_BYTES, _CACHE = 4 << 20, 300_000
 #: White space other than the common four; texts with any of them take the careful split.
 _RARE = "".join(map(chr, [*range(0x0B, 0x0D), *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 #: Runs of white space that must not be cut within.
