@@ -124,8 +124,9 @@ def _forest(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
 def links(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, crowd: int = CROWD) -> DataFrame:
     """(a, b): links between distinct fingerprints of `fps` (column fp) whose closure joins all pairs within the radius."""
     spark = fps.sparkSession
-    met = _variants(fps, radius, blocks)
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    # few bytes a fingerprint, many variants: without this the small input would be put into few tasks
+    met = _variants(fps.repartition(n, "fp"), radius, blocks)
     schema = "a long, b long, hot boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
