@@ -207,7 +207,9 @@ def closure(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def components(docs: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, crowd: int = CROWD, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """docs without text, with `fp` (long) and `component_id`, the smallest doc_id that links reach."""
+    """docs without text, with `fp` (long), `component_id`, the smallest doc_id that links reach, and `root`, the smallest
+    fingerprint that they reach, which tells components of null ids apart."""
+    docs = docs.drop(*[c for c in ("fp", "root", "component_id") if c in docs.columns])
     rows = common.staged(fingerprints(docs, shingle=shingle, seed=seed), "fingerprints")
     fps = rows.select("fp").distinct()
     roots = closure(links(fps, radius, blocks, crowd))
@@ -215,17 +217,21 @@ def components(docs: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, crow
     rooted = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = common.staged(rooted, "rooted")
     own = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = rooted.join(own, "root").select("fp", "component_id")
+    known = rooted.join(own, "root").select("fp", "root", "component_id")
     return rows.join(known, "fp")
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """One document of each component: the one with the smallest doc_id, of repeated rows the smallest text."""
-    found = components(docs.select("doc_id", "text"), **options).select("doc_id", "component_id").distinct()
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id"))
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    order = Window.partitionBy("doc_id").orderBy(*[F.col(c).asc_nulls_first() for c in sorted(docs.columns)])
-    return rows.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
+    """One document of each component: the one with the smallest doc_id (null ids last), of equal ids the one whose text hashes
+    smallest, of repeated rows one."""
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    found = components(keyed, **options)
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h")).alias("first"))
+    kept = first.select(F.col("first.doc_id").alias("__id"), F.col("first.h").alias("__h"))
+    rows = docs.withColumn("__key", F.xxhash64("text"))
+    rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__h")), "left_semi")
+    order = Window.partitionBy("doc_id", "__key").orderBy(*[F.col(f"`{c}`").asc_nulls_first() for c in sorted(docs.columns)])
+    return rows.withColumn("__n", F.row_number().over(order)).where("__n = 1").select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -138,6 +138,13 @@ def test_keep_first(docs):
     assert sorted(ids) == sorted(parts)
 
 
+def test_keep_first_of_null_ids_and_repeated_rows(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(None, a, 1), (None, a, 1), (None, b, 2), (None, c, 3), (7, c, 4), (7, c, 4)]
+    out = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string, fp long"))
+    assert sorted((r.doc_id or 0, r.text) for r in out.collect()) == [(0, a), (0, b), (7, c)]
+
+
 @pytest.mark.parametrize("kind", ["byte", "bit"])
 def test_token_store_round_trip(spark, docs, texts, tmp_path, kind):
     path = public_tokenizers.path("byte_bpe_50k.json")
