@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {
+    "op3_substring_dedup": substring.SQL,
     "op5_quality_rules": rules.sql(),
     "op7_chat_format": chat.SQL,
 }

@@ -232,3 +232,21 @@ def digests(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     return digests(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+SQL = rf"""
+WITH split_ AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), windows AS (
+  SELECT r, i, md5(array_to_string(ws[i:i + {WINDOW - 1}], ' ')) AS g FROM (SELECT r, ws, unnest(range(1, len(ws) - {WINDOW - 2})) AS i FROM split_ WHERE len(ws) >= {WINDOW})
+), again AS (
+  SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY g) AS c FROM windows) WHERE c > 1
+), gone AS (
+  SELECT DISTINCT r, i + j AS k FROM again, range(0, {WINDOW}) AS t(j)
+), words AS (
+  SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) AS k FROM split_
+), kept AS (
+  SELECT r, count(*) FILTER (gone.k IS NOT NULL) AS n_removed, string_agg(w, ' ' ORDER BY k) FILTER (gone.k IS NULL) AS text FROM words LEFT JOIN gone USING (r, k) GROUP BY r
+)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM split_ LEFT JOIN kept USING (r)
+"""
