@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -88,13 +88,19 @@ def paths_of(texts: list[bytes], window: int, k: int) -> tuple[np.ndarray, ...]:
     return of, lo - (words.ends_of - words.counts)[of], n, grams[anchor[lo]].view(np.int64), spans.view(np.int64)
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, h (hash of the text) and text: id and h tell documents apart."""
-    return docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
+def _key(docs: DataFrame) -> tuple[Column, Column]:
+    """Two columns that tell documents apart: the id, of a null id a hash of the text, and another hash of the text."""
+    return F.coalesce(docs["doc_id"].cast("long"), F.xxhash64(docs["text"])), F.hash(docs["text"])
+
+
+def _keyed(docs: DataFrame, *columns: str) -> DataFrame:
+    """The columns behind the key; the same columns in the same order let the planner shuffle the texts once for both joins."""
+    d, h = _key(docs)
+    return docs.select(d.alias("__d"), h.alias("__h"), *columns)
 
 
 def paths(keyed: DataFrame, window: int, k: int) -> DataFrame:
-    schema = "doc_id long, h long, lo int, n short, a long, s long"
+    schema = "d long, h int, lo int, n byte, a long, s long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,16 +108,16 @@ def paths(keyed: DataFrame, window: int, k: int) -> DataFrame:
                 of, lo, n, a, s = paths_of(common.encoded(part.column(2)), window, k)
                 if len(of):
                     take = pa.array(of)
-                    yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()).take(take), part.column(1).take(take), pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int16)), pa.array(a), pa.array(s)], names=["doc_id", "h", "lo", "n", "a", "s"])
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int8)), pa.array(a), pa.array(s)], names=["d", "h", "lo", "n", "a", "s"])
 
     return keyed.mapInArrow(run, schema)
 
 
 def _edges(keyed: DataFrame, opened: DataFrame, window: int) -> DataFrame:
-    """The single edges of the opened paths: doc_id, h, pos, two digests of the edge's words."""
-    lists = opened.groupBy("doc_id", "h").agg(F.collect_list(F.struct("lo", "n")).alias("open"))
-    met = keyed.join(lists, keyed.doc_id.eqNullSafe(lists.doc_id) & (keyed.h == lists.h)).select(keyed.doc_id, keyed.h, "text", "open")
-    schema = "doc_id long, h long, pos int, e1 long, e2 long"
+    """The single edges of the opened paths: d, h, pos, two digests of the edge's words."""
+    lists = opened.groupBy("d", "h").agg(F.collect_list(F.struct("lo", "n")).alias("open"))
+    met = keyed.join(lists, (F.col("__d") == F.col("d")) & (F.col("__h") == F.col("h"))).select("d", "h", "text", "open", "doc_id")
+    schema = "d long, h int, pos int, e1 long, e2 long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,40 +137,44 @@ def _edges(keyed: DataFrame, opened: DataFrame, window: int) -> DataFrame:
 
     def made(batch: pa.RecordBatch, rows: list, pos: list, e: list) -> pa.RecordBatch:
         take, both = pa.array(np.concatenate(rows)), np.frombuffer(b"".join(e), np.int64).reshape(-1, 2)
-        return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()).take(take), batch.column(1).take(take), pa.array(np.concatenate(pos).astype(np.int32)), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["doc_id", "h", "pos", "e1", "e2"])
+        return pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(np.concatenate(pos).astype(np.int32)), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["d", "h", "pos", "e1", "e2"])
 
     # repeated rows open the same path each: their edges are occurrences of each other
     return met.mapInArrow(run, schema)
 
 
 def spans(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
-    """doc_id, h, lo, n: runs of n repeated edges of a document from word lo on; the words lo to lo+n+window-2 go.
+    """d, h, lo, n: runs of n repeated edges of a document from word lo on; the words lo to lo+n+window-2 go.
 
-    Runs may adjoin; `removed` merges them.
+    Runs may adjoin; `removed` merges them. What is counted is staged before it is joined, so that the planner can split a
+    join's hot keys on the side of the paths.
     """
-    keyed = _keyed(docs)
-    all_ = common.staged(paths(keyed, window, k), "paths")
+    spark, keyed = docs.sparkSession, _keyed(docs, "doc_id", "text")
+    made = common.staging(spark, "paths")
+    paths(keyed.select("__d", "__h", "text"), window, k).write.option("compression", "zstd").parquet(made)
+    all_ = spark.read.parquet(made)
     # 1. anchors that occur twice or more, counted before they are shuffled
-    twice = all_.groupBy("a").agg(F.count("*").alias("c")).where("c > 1").select("a")
+    twice = common.staged(all_.groupBy("a").agg(F.count("*").alias("c")).where("c > 1").select("a"), "anchors")
     some = common.staged(all_.join(twice, "a"), "repeated")
+    common.drop_path(spark, made)
     # 2. multiplicity of whole paths, and one source of each
-    path = some.groupBy("a", "s").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "h", "lo", "n")).alias("source"))
-    whole = some.join(path.where("c > 1").select("a", "s"), ["a", "s"]).select("doc_id", "h", "lo", F.col("n").cast("int").alias("n"))
+    path = common.staged(some.groupBy("a", "s").agg(F.count("*").alias("c"), F.min(F.struct("d", "h", "lo", "n")).alias("source")), "multiplicity")
+    whole = some.join(path.where("c > 1").select("a", "s"), ["a", "s"]).select("d", "h", "lo", F.col("n").cast("int").alias("n"))
     # 3. branching anchors: their paths are opened into edges
-    branching = path.groupBy("a").agg(F.count("*").alias("ways")).where("ways > 1").select("a")
-    opened = path.join(branching, "a").select("source.*", (F.col("c") > 1).alias("known"))
-    edge = _edges(keyed, opened, window)
+    branching = common.staged(path.groupBy("a").agg(F.count("*").alias("ways")).where("ways > 1").select("a"), "branching")
+    edge = _edges(keyed, path.join(branching, "a").select("source.*"), window)
     again = edge.groupBy("e1", "e2").agg(F.count("*").alias("c")).where("c > 1").select("e1", "e2")
-    single = edge.join(again, ["e1", "e2"]).select("doc_id", "h", F.col("pos").alias("lo"), F.lit(1).alias("n"))
+    single = edge.join(again, ["e1", "e2"]).select("d", "h", F.col("pos").alias("lo"), F.lit(1).alias("n"))
     return whole.union(single)
 
 
 def removed(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
     """docs with `cuts`, an array of repeated runs (lo, n) of the document's words, null where nothing repeats."""
-    found = spans(docs, window, k).groupBy("doc_id", "h").agg(F.collect_set(F.struct("lo", "n")).alias("cuts"))
-    found = found.select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), "cuts")
-    rows = docs.drop("cuts").withColumn("__key", F.xxhash64("text"))
-    return rows.join(found, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__h")), "left").drop("__id", "__h", "__key")
+    found = spans(docs, window, k).groupBy("d", "h").agg(F.collect_set(F.struct("lo", "n")).alias("cuts"))
+    found = found.select(F.col("d").alias("__of"), F.col("h").alias("__hash"), "cuts")
+    docs = docs.drop("cuts")
+    rows = _keyed(docs, *docs.columns)
+    return rows.join(found, (F.col("__d") == F.col("__of")) & (F.col("__h") == F.col("__hash")), "left").drop("__d", "__h", "__of", "__hash")
 
 
 def cover(n_words: int, cuts: list[dict] | None, window: int) -> np.ndarray:
