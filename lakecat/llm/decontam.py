@@ -7,7 +7,7 @@
    plus oversampling), the sums are added up in the shared shuffle, and the driver solves the small eigenproblem. What is
    gathered is bounded by the benchmark's vocabulary, not by the corpus.
 4. Overlapping passages of all documents are projected; passages whose cosine with an item
-   is `near` or more are candidates. There is no limit on candidates.
+   is `near` or more (less for items shorter than a passage, by their share of one) are candidates. There is no limit on candidates.
 5. Candidates are verified by the longest common subsequence of the item and the text around the passage, in windows little longer
    than the item: a share of `same` of the item's terms is a copy; a share of `alike` is a paraphrase if the item's
    answer, its last `answer` terms, is found in order to the same share and the window holds most of the item's IDF mass.
@@ -294,13 +294,15 @@ def matches(docs: DataFrame, benchmark: DataFrame, length: int = LENGTH, stride:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, used = basis * weight[:, None], np.append(weight > 0, False)
+        # an item shorter than a passage shares it with other terms: the bound falls with its share
+        bound = near * np.minimum([max(len(t), 1) / length for t in bench.items], 1).astype(np.float32)
         for batch in batches:
             for part, numbers, counts in _numbers(batch):
                 text, start, end = passages(counts, length, stride)
                 found = []
                 for lo in range(0, len(start), 4096):
                     cosine = unit(_sums(numbers, used, rows, start[lo : lo + 4096], end[lo : lo + 4096])) @ targets.T
-                    p, i = np.nonzero(cosine >= near)
+                    p, i = np.nonzero(cosine >= bound)
                     found.append((p + lo, i, cosine[p, i]))
                 if not found:
                     continue
