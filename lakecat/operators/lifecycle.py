@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lakecat.functions import exprs
 from lakecat.operators import versions as history
+from lakecat.sources.config import local_frame
 
 RULES = (
     "bucket string, rule_pos int, id string, prefix string, size_gt long, size_lt long, tag_key string, tag_value string, exp_days int, exp_date timestamp_ntz, "
@@ -22,7 +23,7 @@ RULES = (
 def rules_frame(spark: SparkSession, rules: list[dict]) -> DataFrame:
     """Rules given as dicts; what a rule does not name is null."""
     names = ["bucket", "rule_pos", "id", "prefix", "size_gt", "size_lt", "tag_key", "tag_value", "exp_days", "exp_date", "expired_markers", "abort_days", "transitions", "nc_days", "nc_newer", "nc_transitions"]
-    return spark.createDataFrame([tuple(r.get(n) for n in names) for r in rules], RULES)
+    return local_frame(spark, [tuple(r.get(n) for n in names) for r in rules], RULES)
 
 
 def matches(size: Column, tags: Column | None) -> Column:

@@ -13,6 +13,7 @@ from lakecat.operators import checksums, governance, lifecycle, listing, notify,
 from lakecat.operators import parts as manifests
 from lakecat.operators import versions as history
 from lakecat.sources import adapters
+from lakecat.sources.config import local_frame
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -472,7 +473,7 @@ _ROUTES = [
 
 
 def _routes(spark):
-    return spark.createDataFrame(_ROUTES, notify.RULES)
+    return local_frame(spark, _ROUTES, notify.RULES)
 
 
 @query("""SELECT id, event_name, bucket, key, destination FROM notif_o JOIN (VALUES
@@ -574,14 +575,14 @@ def cache_lfu_frequency(spark, sf):
 def cors_match(spark, sf):
     pages = adapters.table(spark, sf, "pages")
     requests = pages.select(F.col("page_id").alias("request_id"), F.lit("web").alias("bucket"), F.regexp_extract("url", "^[a-z]+://[^/]+", 0).alias("origin"), F.lit("GET").alias("method"))
-    rules = spark.createDataFrame([("web", 0, ["https://m.*"], ["GET", "PUT"]), ("web", 1, ["ftp://a", "*.example.com"], ["GET"]), ("web", 2, ["*"], ["POST"])], "bucket string, rule_pos int, origins array<string>, methods array<string>")
+    rules = local_frame(spark, [("web", 0, ["https://m.*"], ["GET", "PUT"]), ("web", 1, ["ftp://a", "*.example.com"], ["GET"]), ("web", 2, ["*"], ["POST"])], "bucket string, rule_pos int, origins array<string>, methods array<string>")
     return governance.first_cors_rule(requests, rules)
 
 
 @query("""SELECT page_id, bucket, key, starts_with(key, 'en/') OR starts_with(key, 'de/') AS redirect, CASE WHEN starts_with(key, 'en/') THEN 'english/' || substr(key, 4)
     WHEN starts_with(key, 'de/') THEN 'deutsch/' || substr(key, 4) WHEN key = '' OR ends_with(key, '/') THEN key || 'index.html' ELSE key END AS target FROM pages_o""")
 def website_route(spark, sf):
-    rules = spark.createDataFrame([(0, "en/", "english/"), (1, "de/", "deutsch/"), (2, "en/1", "never/")], "rule_pos int, prefix string, replace_with string")
+    rules = local_frame(spark, [(0, "en/", "english/"), (1, "de/", "deutsch/"), (2, "en/1", "never/")], "rule_pos int, prefix string, replace_with string")
     return governance.website_route(adapters.objects_pages(spark, sf).select("page_id", "bucket", "key"), rules, "index.html")
 
 
