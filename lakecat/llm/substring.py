@@ -163,7 +163,8 @@ def spans(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
     # 3. branching anchors: their paths are opened into edges
     branching = common.staged(path.groupBy("a").agg(F.count("*").alias("ways")).where("ways > 1").select("a"), "branching")
     edge = _edges(keyed, path.join(branching, "a").select("source.*"), window)
-    again = edge.groupBy("e1", "e2").agg(F.count("*").alias("c")).where("c > 1").select("e1", "e2")
+    # grouped as one struct, the counts are shuffled once more for the join, and the planner can split a hot edge's rows there
+    again = edge.groupBy(F.struct("e1", "e2").alias("e")).agg(F.count("*").alias("c")).where("c > 1").select("e.e1", "e.e2")
     single = edge.join(again, ["e1", "e2"]).select("d", "h", F.col("pos").alias("lo"), F.lit(1).alias("n"))
     return whole.union(single)
 
