@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lakecat.functions import exprs
 from lakecat.operators import audit as logs
-from lakecat.operators import checksums, governance, lifecycle, listing, notify, outbox, registry
+from lakecat.operators import checksums, governance, lifecycle, listing, mutations, notify, outbox, registry
 from lakecat.operators import parts as manifests
 from lakecat.operators import versions as history
 from lakecat.sources import adapters
@@ -605,3 +605,70 @@ def preconditions(spark, sf):
     objects = adapters.objects_docs(spark, sf)
     least = objects.agg(F.min("etag").alias("wanted"))  # one row
     return objects.join(F.broadcast(least)).select("key", exprs.if_match(F.col("etag"), F.col("wanted")).alias("matches"), exprs.if_match(F.col("etag"), F.lit("*")).alias("always"))
+
+
+# --- writes as deltas
+
+
+@query("""SELECT object_id, part_id, sequence_number::INT AS sequence_number, size FROM parts_o UNION ALL SELECT o_orderkey, 0, coalesce(n, 0) + 1, 7 FROM orders
+    LEFT JOIN (SELECT object_id, max(sequence_number) AS n FROM parts_o GROUP BY 1) ON object_id = o_orderkey WHERE o_orderkey % 3 = 0""")
+def append_parts(spark, sf):
+    new = adapters.table(spark, sf, "orders").where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("object_id"), F.lit(0).cast("long").alias("part_id"), F.lit(7).cast("long").alias("size"), F.lit(0).alias("pos"))
+    return mutations.append_parts(adapters.parts(spark, sf), new)
+
+
+def _copies(spark, sf):
+    objects = adapters.objects_orders(spark, sf)
+    asked = objects.where("object_id % 5 = 0").select(
+        "object_id", F.concat(F.lit("copy/"), "key").alias("new_key"), F.when(F.col("object_id") % 2 == 0, "REPLACE").otherwise("COPY").alias("directive"), F.create_map(F.lit("status"), F.lit("new")).alias("new_tags")
+    )
+    return mutations.copy_objects(objects, asked)
+
+
+@query("""SELECT bucket, 'copy/' || key AS key, size, object_id AS shares, CASE WHEN object_id % 2 = 0 THEN 'new' ELSE status END AS status, 'STANDARD' AS storage_class FROM orders_o WHERE object_id % 5 = 0""")
+def copy_objects(spark, sf):
+    return _copies(spark, sf).select("bucket", "key", "size", "shares", F.element_at("tags", "status").alias("status"), "storage_class")
+
+
+@query("SELECT l_partkey AS part_id, count(*) AS delta FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_orderkey % 5 = 0 GROUP BY 1")
+def copy_references(spark, sf):
+    return mutations.shared_references(adapters.parts(spark, sf), _copies(spark, sf))
+
+
+@query("""SELECT source AS bucket, lang || '/' || source || '/' || doc_id || CASE WHEN doc_id % 4 = 0 THEN '?' ELSE '' END AS key,
+    CASE WHEN doc_id % 4 <> 0 AND doc_id % 3 = 0 THEN 'PreconditionFailed' ELSE 'Deleted' END AS status, doc_id % 4 <> 0 AS existed FROM documents""")
+def bulk_delete(spark, sf):
+    objects = adapters.objects_docs(spark, sf)
+    asked = objects.select("bucket", F.when(F.col("doc_id") % 4 == 0, F.concat("key", F.lit("?"))).otherwise(F.col("key")).alias("key"), F.when(F.col("doc_id") % 3 == 0, '"old"').alias("if_match"))
+    return mutations.bulk_delete(objects, asked)
+
+
+@query("SELECT key, CASE WHEN doc_id % 2 = 0 AND doc_id % 5 <> 0 THEN 'GLACIER' ELSE 'STANDARD' END AS storage_class FROM docs_o")
+def transition_class(spark, sf):
+    objects = adapters.objects_docs(spark, sf).withColumn("storage_class", F.lit(""))
+    plan = objects.where("doc_id % 2 = 0").select("bucket", "key", F.when(F.col("doc_id") % 5 == 0, "stale").otherwise(F.col("etag")).alias("etag"), F.lit("GLACIER").alias("to_class"))
+    return mutations.move_class(objects, plan).select("key", "storage_class")
+
+
+@query("""SELECT doc_id AS object_id, 'toxic' AS key, toxic::VARCHAR AS value FROM labels WHERE doc_id % 2 = 1 UNION ALL SELECT doc_id, 'quality', quality::VARCHAR FROM labels WHERE doc_id % 2 = 1
+    UNION ALL SELECT doc_id, 'state', 'new' FROM labels WHERE doc_id % 2 = 0""")
+def replace_tags(spark, sf):
+    labels = adapters.table(spark, sf, "labels")
+    tags = labels.select(F.col("doc_id").alias("object_id"), F.explode(F.create_map(F.lit("toxic"), F.col("toxic").cast("string"), F.lit("quality"), F.col("quality").cast("string"))).alias("key", "value"))
+    puts = labels.where("doc_id % 2 = 0").select(F.col("doc_id").alias("object_id"), F.create_map(F.lit("state"), F.lit("new")).alias("tags"))
+    return mutations.replace_tags(tags, puts)
+
+
+@query("""SELECT doc_id AS object_id, CASE WHEN doc_id % 6 = 0 THEN 'md5,sha256' WHEN doc_id % 2 = 0 THEN 'md5' WHEN doc_id % 3 = 0 THEN 'sha256' ELSE '' END AS mismatched FROM documents""")
+def declared_checksums(spark, sf):
+    own = checksums.digests(adapters.objects_docs(spark, sf)).select(F.col("doc_id").alias("object_id"), "md5", "sha256")
+    said = own.select("object_id", F.when(F.col("object_id") % 2 == 0, "x").otherwise(F.col("md5")).alias("md5"), F.when(F.col("object_id") % 3 == 0, "x").when(F.col("object_id") % 5 != 0, F.col("sha256")).alias("sha256"))
+    return mutations.checksum_verdicts(said, own, ["md5", "sha256"])
+
+
+@query("""SELECT p_partkey AS part_id, (p_partkey % 2 = 0)::BIGINT + (p_partkey % 3 = 0)::BIGINT + (p_partkey % 5 <> 0)::BIGINT AS shards,
+    (p_partkey % 2 = 0)::INT + (p_partkey % 3 = 0)::INT + (p_partkey % 5 <> 0)::INT >= 2 AS readable, NOT (p_partkey % 2 = 0 AND p_partkey % 3 = 0 AND p_partkey % 5 <> 0) AS heal
+    FROM part WHERE p_partkey % 2 = 0 OR p_partkey % 3 = 0 OR p_partkey % 5 <> 0""")
+def shard_health(spark, sf):
+    part = adapters.part_registry(spark, sf)
+    return mutations.shard_health([part.where("part_id % 2 = 0"), part.where("part_id % 3 = 0"), part.where("part_id % 5 <> 0")], 2)
