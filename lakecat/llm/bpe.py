@@ -17,7 +17,6 @@ repeated rows are encoded alike; null ids pass through; an empty table gives an
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import heapq
 import json
@@ -33,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-_BATCH_BYTES, _CACHE = 8 << 20, 200_000
+_BATCH_BYTES, _CACHE = 4 << 20, 150_000
 _NONE = np.iinfo(np.int32).max
 
 
@@ -204,12 +203,6 @@ class Codec:
         return b" ".join([self.string[i] for i in ids.tolist()])
 
 
-@functools.lru_cache(1)
-def codec_of(path: str) -> Codec:
-    """One codec for all tasks that a Python worker runs."""
-    return Codec(path)
-
-
 def encode(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
     """docs with `ids`, little-endian unsigned 32-bit integers, `n_tokens`, and `decoded`, the decoded text."""
     return _with(docs, tokenizer, text, "ids binary, n_tokens long, decoded string", lambda data, n, decoded: [data, n, decoded.decode()])
@@ -235,9 +228,10 @@ def _with(docs: DataFrame, tokenizer: str, text: str, more: str, row) -> DataFra
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = codec_of(tokenizer)
+        codec = Codec(tokenizer)
         kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
         types = [kinds[c.strip().split(" ")[1]] for c in more.split(",")]
+        texts = slots = rows = made = None
         for batch in batches:
             for part in common.blocks(batch, _BATCH_BYTES, text):
                 ids, counts, slots = codec.encode([x or "" for x in part.column(at).to_pylist()])
@@ -247,6 +241,8 @@ def _with(docs: DataFrame, tokenizer: str, text: str, more: str, row) -> DataFra
                     rows.append(row(ids[stop - n : stop].tobytes(), n, decoded))
                 made = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, *new])
+        del codec, texts, slots, rows, made
+        common.give_back()
 
     return docs.mapInArrow(run, schema)
 

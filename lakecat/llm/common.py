@@ -6,6 +6,9 @@ A word is a maximal run of characters other than space and U+0009 to U+000D. On
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -88,6 +91,13 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def give_back() -> None:
+    """Return what a task has freed to the system: Python workers live on, and idle ones count against the executor's memory."""
+    gc.collect()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 class Slots(dict):
     """Numbers keys in the order of their first look-up; `new` holds those not seen before."""
 
@@ -126,17 +136,31 @@ def _both(base: int) -> tuple[Powers, Powers]:
 _BYTES, _WORDS = _both(0x9E3779B97F4A7C15), _both(0xD6E8FEB86659FD93)
 
 
+#: Entries that are hashed at a time.
+_SPAN = 1 << 20
+
+
 def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, powers: tuple[Powers, Powers]) -> np.ndarray:
-    """A 64-bit hash of values[start:end] for each pair; equal for equal content, wherever and in whichever array it stands."""
-    n = len(values)
-    up, down = (p.upto(n + 1) for p in powers)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(values.astype(np.uint64) * up[:n], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    """A 64-bit hash of values[start:end] for each pair; equal for equal content, wherever and in whichever array it stands.
+
+    Starts and ends ascend. Work and memory go by spans of values, so that powers are as few as a span or the longest range.
+    """
+    out = np.empty(len(starts), np.uint64)
+    a = 0
+    while a < len(starts):
+        b = max(a + 1, int(np.searchsorted(ends, starts[a] + _SPAN, "right")))
+        lo, hi = int(starts[a]), int(ends[b - 1])
+        first, last = starts[a:b] - lo, ends[a:b] - lo
+        up, down = (p.upto(hi - lo + 1) for p in powers)
+        sums = np.zeros(hi - lo + 1, np.uint64)
+        np.cumsum((values[lo:hi].astype(np.uint64) + np.uint64(1)) * up[: hi - lo], out=sums[1:])
+        out[a:b] = mix((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64))
+        a = b
+    return out
 
 
 def byte_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return range_hashes(values + np.uint64(1), starts, ends, _BYTES)
+    return range_hashes(values, starts, ends, _BYTES)
 
 
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:

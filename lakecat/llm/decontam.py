@@ -33,7 +33,7 @@ LENGTH, STRIDE, RANK, OVERSAMPLE, NEAR = 24, 8, 64, 8, 0.55
 #: fewer than FEW other terms.
 COMMON, FEW = 0.05, 4
 SAME, ALIKE, ANSWER, MASS, SLACK = 0.85, 0.65, 6, 0.7, 1.3
-_SEED, _BLOCK_BYTES, _TERMS = 5, 8 << 20, 1 << 20
+_SEED, _BLOCK_BYTES, _TERMS = 5, 4 << 20, 1 << 20
 
 _TABLE = np.zeros(256, bool)
 _TABLE[[*b"abcdefghijklmnopqrstuvwxyz0123456789", *range(0x80, 256)]] = True
@@ -46,7 +46,7 @@ def terms(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     inside = _TABLE[buffer]
     edges = np.flatnonzero(np.diff(inside, prepend=False))
     starts, ends = edges[::2], edges[1::2]
-    hashes = common.byte_hashes(buffer.astype(np.uint64), starts, ends)
+    hashes = common.byte_hashes(buffer, starts, ends)
     of = np.searchsorted(np.cumsum([len(x) + 1 for x in data]), starts, "right")
     return hashes, np.bincount(of, minlength=len(texts))
 

@@ -29,7 +29,7 @@ from . import common
 
 SAMPLE, HIDDEN, LONGEST, FOLDS = 2_000, 16, 48, 5
 _STEPS, _BATCH, _RATE, _SEED = 700, 256, 0.01, 11
-_BLOCK_BYTES, _CACHE = 8 << 20, 400_000
+_BLOCK_BYTES, _CACHE = 4 << 20, 200_000
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -218,6 +218,8 @@ def identified(docs: DataFrame, sample: int = SAMPLE, folds: int = FOLDS) -> Dat
                 else:
                     names, score = ["und"] * len(letters), np.zeros(len(letters))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(np.clip(score, 0, 1), pa.float64())], names=[*part.schema.names, "lang_pred", "score"])
+        del identifier
+        common.give_back()
 
     return docs.mapInArrow(run, schema).withColumn("held_out", common.crc_fold("doc_id", folds) == 0)
 

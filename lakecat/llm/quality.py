@@ -31,13 +31,13 @@ from . import common
 SAMPLE, BUCKETS, DIM, MIN_GRAM, MAX_GRAM = 4_000, 1 << 17, 8, 3, 5
 THRESHOLD, FOLDS = 0.3, 5
 _STEPS, _BATCH, _RATE, _SEED = 300, 32, 0.5, 7
-_BLOCK_BYTES, _CACHE = 8 << 20, 400_000
+_BLOCK_BYTES, _CACHE = 4 << 20, 200_000
 
 
 def word_features(words: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row of each feature, feature, hash of each word): the word itself and its character n-grams, as buckets."""
     sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
-    data = np.frombuffer(b"".join([b"<%b>" % w for w in words]), np.uint8).astype(np.uint64)
+    data = np.frombuffer(b"".join([b"<%b>" % w for w in words]), np.uint8)
     ends = np.cumsum(sizes)
     starts = ends - sizes
     whole = common.byte_hashes(data, starts, ends) if len(words) else np.zeros(0, np.uint64)
@@ -179,6 +179,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = F
         held = io.BytesIO()
         np.savez(held, table=table, bias=bias)
         yield pa.RecordBatch.from_arrays([pa.array([held.getvalue()], pa.binary())], names=["model"])
+        texts = trainer = None
+        common.give_back()
 
     rows = labelled(docs, labels, sample, folds)
     found = rows.repartition(1).sortWithinPartitions("doc_id", "text").select("text", F.col("label").cast("int")).mapInArrow(run, "model binary").collect()
@@ -201,6 +203,8 @@ def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold:
             for part in common.blocks(batch, _BLOCK_BYTES):
                 score = scorer.score(common.encoded(part.column(at)))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score)], names=[*part.schema.names, "score"])
+        del scorer
+        common.give_back()
 
     out = docs.mapInArrow(run, schema)
     return out.withColumns({"held_out": common.crc_fold("doc_id", folds) == 0, "predicted": F.when(F.col("score") >= threshold, 1).otherwise(0)})

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from . import common
 
 WINDOW, K = 35, 10
-_BLOCK_BYTES = 4 << 20
+_BLOCK_BYTES = 2 << 20
 
 
 class Words:
@@ -52,7 +52,7 @@ class Words:
         self.starts = self.ends - lengths
 
     def hashes(self) -> np.ndarray:
-        return common.byte_hashes(np.frombuffer(self.bytes, np.uint8).astype(np.uint64), self.starts, self.ends)
+        return common.byte_hashes(np.frombuffer(self.bytes, np.uint8), self.starts, self.ends)
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:

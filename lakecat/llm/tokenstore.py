@@ -166,8 +166,10 @@ def ids_of(planes: list[bytes], n: int, width: int, kind: str) -> np.ndarray:
 _STORE = "part int, chunk int, first long, n int, width int, kind string, planes array<binary>, docs array<struct<ord: long, doc_id: long, n: int>>"
 
 
-def encode(docs: DataFrame, tokenizer: str, end: int | None = END) -> DataFrame:
-    """doc_id and `ids`, little-endian unsigned integers of 2 bytes where all ids fit, else 4."""
+def encode(docs: DataFrame, tokenizer: str, end: int | None = END, bounds: np.ndarray | None = None) -> DataFrame:
+    """doc_id, `ids`, little-endian unsigned integers of `width` bytes, 2 where all ids fit, else 4, and `to`, the range of ids
+    between the bounds that the doc_id falls in."""
+    bounds = np.zeros(0, np.int64) if bounds is None else bounds
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(tokenizer)
@@ -183,9 +185,12 @@ def encode(docs: DataFrame, tokenizer: str, end: int | None = END) -> DataFrame:
                 data = ids.astype(kind).tobytes()
                 offsets = np.concatenate([[0], stops * width]).astype(np.int32)
                 blob = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data)])
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), blob, pa.array(np.full(len(counts), width, np.int32))], names=["doc_id", "ids", "width"])
+                to = np.searchsorted(bounds, part.column(0).cast(pa.int64()).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), "left")
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), blob, pa.array(np.full(len(counts), width, np.int32)), pa.array(to.astype(np.int32))], names=["doc_id", "ids", "width", "to"])
+        ids = blob = data = None
+        common.give_back()
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, ids binary, width int")
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, ids binary, width int, to int")
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end: int | None = END, block: int = BLOCK, kind: str = "byte", level: int = LEVEL) -> None:
@@ -195,11 +200,6 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int | None = END, blo
     found = docs.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 100 * n).alias("q")).first()["q"] or []
     bounds = np.array(sorted(set(found)), np.int64)
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = np.searchsorted(bounds, batch.column(0).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), "left")
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at.astype(np.int32))], names=[*batch.schema.names, "to"])
-
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, chunk, first, ord_ = TaskContext.get().partitionId(), 0, 0, 0
         held: list[np.ndarray] = []
@@ -239,8 +239,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int | None = END, blo
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema)
 
-    placed = encode(docs, tokenizer, end).mapInArrow(place, "doc_id long, ids binary, width int, to int")
-    dealt = placed.repartitionById(len(bounds) + 1, F.col("to")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
+    dealt = encode(docs, tokenizer, end, bounds).repartitionById(len(bounds) + 1, F.col("to")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
     # planes are compressed already
     dealt.select("doc_id", "ids", "width").mapInArrow(pack, _STORE).write.option("compression", "none").parquet(path)
 
@@ -252,21 +251,28 @@ def bases(spark: SparkSession, path: str) -> DataFrame:
     return parts.select("part", F.coalesce(before, F.lit(0)).alias("base"))
 
 
+def _shares(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[pa.Array], np.ndarray, np.ndarray]]:
+    """(part, ord, doc_id, start, n of each document's share of a block; its ids one after another; where the shares end)."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            ids = ids_of(row["planes"], row["n"], row["width"], row["kind"])
+            sizes = np.array([d["n"] for d in row["docs"]], np.int64)
+            stops = np.cumsum(sizes)
+            columns = [np.full(len(sizes), row["part"], np.int32), pa.array([d["ord"] for d in row["docs"]], pa.int64()), pa.array([d["doc_id"] for d in row["docs"]], pa.int64()), row["first"] + stops - sizes, sizes]
+            yield [pa.array(c) for c in columns], ids, stops
+
+
+_SHARE = ["part", "ord", "doc_id", "start", "n"]
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """part, ord, doc_id, start (in the part), n and `ids` (little-endian unsigned 32-bit) of each document's share of each block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                ids = ids_of(row["planes"], row["n"], row["width"], row["kind"])
-                sizes = np.array([d["n"] for d in row["docs"]], np.int64)
-                stops = np.cumsum(sizes)
-                offsets = np.concatenate([[0], stops * 4]).astype(np.int32)
-                blob = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(ids.tobytes())])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(sizes), row["part"], np.int32)), pa.array([d["ord"] for d in row["docs"]], pa.int64()), pa.array([d["doc_id"] for d in row["docs"]], pa.int64()), pa.array(row["first"] + stops - sizes), pa.array(sizes), blob],
-                    names=["part", "ord", "doc_id", "start", "n", "ids"],
-                )
+        for columns, ids, stops in _shares(batches):
+            offsets = np.concatenate([[0], stops * 4]).astype(np.int32)
+            blob = pa.Array.from_buffers(pa.binary(), len(stops), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(ids.tobytes())])
+            yield pa.RecordBatch.from_arrays([*columns, blob], names=[*_SHARE, "ids"])
 
     return spark.read.schema(_STORE).parquet(path).mapInArrow(run, "part int, ord long, doc_id long, start long, n long, ids binary")
 
@@ -296,9 +302,9 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of each document, from the files."""
 
     def crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = pa.array([zlib.crc32(x) for x in batch.column(5).to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], out], names=[*batch.schema.names[:5], "crc"])
+        for columns, ids, stops in _shares(batches):
+            out = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip([0, *stops[:-1].tolist()], stops.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(out, pa.int64())], names=[*_SHARE, "crc"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -311,7 +317,7 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
                 out.append(value)
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(out, pa.int64())], names=[*batch.schema.names[:4], "ids_crc32"])
 
-    shares = read(spark, path).mapInArrow(crc, "part int, ord long, doc_id long, start long, n long, crc long")
+    shares = spark.read.schema(_STORE).parquet(path).mapInArrow(crc, "part int, ord long, doc_id long, start long, n long, crc long")
     # a document has a share in each block that it reaches into; one in most cases
     whole = shares.groupBy("part", "ord").agg(F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.sum("n").alias("n_tokens"), F.collect_list(F.struct("start", "n", "crc")).alias("shares"))
     done = whole.select("part", "doc_id", "start", "n_tokens", "shares").mapInArrow(join, "part int, doc_id long, start long, n_tokens long, ids_crc32 long")
