@@ -6,11 +6,13 @@
 3. One pass of a randomised SVD over all passages, of the terms that are not common: each task adds up A'(A G) for its passages and a fixed random G (terms x rank
    plus oversampling), the sums are added up in the shared shuffle, and the driver solves the small eigenproblem. What is
    gathered is bounded by the benchmark's vocabulary, not by the corpus.
-4. Overlapping passages of all documents are projected; passages whose cosine with an item
-   is `near` or more (less for items shorter than a passage, by their share of one) are candidates. There is no limit on candidates.
-5. Candidates are verified by the longest common subsequence of the item and the text around the passage, in windows little longer
-   than the item: a share of `same` of the item's terms is a copy; a share of `alike` is a paraphrase if the item's
-   answer, its last `answer` terms, is found in order to the same share and the window holds most of the item's IDF mass.
+4. Candidates for an item are all windows, little longer than the item, that hold as many terms of it as a paraphrase needs. Terms in
+   order are terms held, so this is a bound and loses none, whatever the item's length. There is no limit on candidates.
+5. Candidates are verified by the longest common subsequence of the item and the window: a share of `same` of the item's terms is a
+   copy; a share of `alike` is a paraphrase if the item's answer, its last `answer` terms, is found in order to the same share and the
+   window holds most of the item's IDF mass. One window that passes is enough.
+6. The cosine of item and passages in the latent space is reported for what was found; it excludes nothing. That of an item
+   much longer than a passage is low by nature.
 
 Defined results: a null text has no terms; a text shorter than a passage is one passage; items without terms match nothing;
 repeated items match alike, each under its own id; repeated rows and null ids are documents like others (one row each per
@@ -28,11 +30,13 @@ from pyspark.sql import functions as F
 
 from . import common
 
-LENGTH, STRIDE, RANK, OVERSAMPLE, NEAR = 24, 8, 64, 8, 0.55
+LENGTH, STRIDE, RANK, OVERSAMPLE = 24, 8, 64, 8
 #: Terms in more than this share of all passages (and 100 passages more) are no part of the latent space, unless an item has
 #: fewer than FEW other terms.
 COMMON, FEW = 0.05, 4
 SAME, ALIKE, ANSWER, MASS, SLACK = 0.85, 0.65, 6, 0.7, 1.3
+#: Windows that start in the same BLOCK terms are candidates together; items of a group and cells of a matrix bound memory.
+BLOCK, _ITEMS, _CELLS = 8, 256, 1 << 18
 _SEED, _BLOCK_BYTES, _TERMS = 5, 4 << 20, 1 << 20
 
 _TABLE = np.zeros(256, bool)
@@ -148,40 +152,128 @@ def lcs(item: np.ndarray, windows: np.ndarray) -> np.ndarray:
     return zeros.astype(np.int64)
 
 
-def spans_of(numbers: np.ndarray, lo: np.ndarray, hi: np.ndarray, width: int, step: int) -> tuple[np.ndarray, np.ndarray]:
-    """All windows of `width` terms, `step` apart, in each span [lo, hi): (span, rows of terms), -1 where a span is shorter."""
-    n = np.maximum(-(-(hi - lo - width) // step), 0) + 1
-    span = np.repeat(np.arange(len(lo)), n)
-    start = np.minimum(lo[span] + (np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)) * step, np.maximum(hi[span] - width, lo[span]))
-    at = start[:, None] + np.arange(width)
-    return span, np.where(at < hi[span][:, None], numbers[np.minimum(at, len(numbers) - 1)], -1)
+def grid(counts: np.ndarray, numbers: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Terms of the texts, each text padded with `size` to whole blocks of BLOCK terms: (blocks, text of each block, first block of each text)."""
+    n = -(-counts // BLOCK)
+    first = np.cumsum(n) - n
+    out = np.full(int(n.sum()) * BLOCK, size, np.int32)
+    out[np.repeat(first * BLOCK - (np.cumsum(counts) - counts), counts) + np.arange(len(numbers))] = numbers
+    return out.reshape(-1, BLOCK), np.repeat(np.arange(len(counts)), n), first
 
 
-def verified(item: np.ndarray, idf: np.ndarray, numbers: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(is it a copy or a paraphrase, best share of the item's terms in order) for the item in each span [lo, hi)."""
+def width(item: np.ndarray) -> int:
+    """Terms of the windows that are compared with the item."""
+    return int(np.ceil(SLACK * len(item)))
+
+
+def needed(item: np.ndarray) -> int:
+    """The fewest terms in order that are a share of ALIKE of the item."""
+    n = len(item)
+    return next(k for k in range(max(int(ALIKE * n) - 1, 1), n + 1) if k / n >= ALIKE)
+
+
+def candidates(bench: Benchmark, blocks: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(item, blocks in which a window may start that holds the item in order to a share of ALIKE).
+
+    Terms in order are terms of the item, so a window that is alike has at least as many positions with a term of the item. These
+    are counted over the blocks that windows from a block reach: no window that is alike is lost, whatever the item's length.
+    """
+    order = sorted((i for i, t in enumerate(bench.items) if len(t)), key=lambda i: len(bench.items[i]))
+    for g in range(0, len(order), _ITEMS):
+        group = order[g : g + _ITEMS]
+        member = np.zeros((bench.size + 1, len(group)), np.uint8)
+        for k, i in enumerate(group):
+            member[bench.items[i], k] = 1
+        need = np.array([needed(bench.items[i]) for i in group], np.int32)
+        reach = np.array([(width(bench.items[i]) + BLOCK - 2) // BLOCK + 1 for i in group])
+        borders = [*np.flatnonzero(np.diff(reach, prepend=-1)).tolist(), len(group)]
+        far = int(reach.max())
+        step = max(8192, far)
+        found: list[list[np.ndarray]] = [[] for _ in group]
+        for a in range(0, len(blocks), step):
+            part = blocks[a : a + step + far]
+            held = member[part[:, 0]]
+            for k in range(1, BLOCK):
+                held += member[part[:, k]]
+            n = min(step, len(blocks) - a)
+            total = np.zeros((n + far + 1, len(group)), np.int32)
+            np.cumsum(held, axis=0, dtype=np.int32, out=total[1 : len(held) + 1])
+            total[len(held) + 1 :] = total[len(held)]
+            for lo, hi in zip(borders, borders[1:]):
+                r = int(reach[lo])
+                k, at = np.nonzero((total[r : r + n, lo:hi] - total[:n, lo:hi] >= need[lo:hi]).T)
+                cut = np.searchsorted(k, np.arange(hi - lo + 1))
+                for j in range(hi - lo):
+                    if cut[j] < cut[j + 1]:
+                        found[lo + j].append(at[cut[j] : cut[j + 1]] + a)
+        for k, i in enumerate(group):
+            if found[k]:
+                yield i, np.concatenate(found[k])
+
+
+def verified(item: np.ndarray, idf: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(does it hold a copy or a paraphrase, share of the item's terms in order) for the item and each row of terms."""
     n = len(item)
-    best, ok = np.zeros(len(lo)), np.zeros(len(lo), bool)
-    # the whole span bounds all its windows from above: most candidates end here
-    some = np.zeros(len(lo), bool)
-    for a in range(0, len(lo), 4096):
-        part = slice(a, a + 4096)
-        width = int((hi[part] - lo[part]).max())
-        _, rows = spans_of(numbers, lo[part], hi[part], width, width)
-        some[part] = lcs(item, rows) >= ALIKE * n
-    width = int(np.ceil(SLACK * n))
-    for i in np.flatnonzero(some).tolist():
-        _, rows = spans_of(numbers, lo[i : i + 1], hi[i : i + 1], width, 1)
-        share = lcs(item, rows) / n
-        at = int(share.argmax())
-        best[i] = share[at]
-        if share[at] >= SAME:
-            ok[i] = True
-        elif share[at] >= ALIKE:
-            answer = item[-ANSWER:]
-            held = np.isin(item, rows[at])
-            weight = idf[item]
-            ok[i] = lcs(answer, rows[at : at + 1])[0] >= ALIKE * len(answer) and weight[held].sum() >= MASS * weight.sum()
-    return ok, best
+    share = lcs(item, rows) / n
+    ok = share >= SAME
+    some = np.flatnonzero(~ok & (share >= ALIKE))
+    if len(some):
+        answer, weight = item[-ANSWER:], idf[item]
+        some = some[lcs(answer, rows[some]) / len(answer) >= ALIKE]
+        for k in some.tolist():
+            ok[k] = weight[np.isin(item, rows[k])].sum() >= MASS * weight.sum()
+    return ok, share
+
+
+def found_in(bench: Benchmark, idf: np.ndarray, numbers: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(text, item, share, start in the text) of all windows that hold an item, but for those that start at neighbouring terms of the same block."""
+    blocks, text, first = grid(counts, numbers, bench.size)
+    flat, ends = blocks.reshape(-1), first * BLOCK + counts
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))]
+    for i, at in candidates(bench, blocks):
+        item, w, need = bench.items[i], width(bench.items[i]), needed(bench.items[i])
+
+        def terms_from(start: np.ndarray, n: int, of: np.ndarray) -> np.ndarray:
+            place = start[:, None] + np.arange(n)
+            return np.where(place < ends[of][:, None], flat[np.minimum(place, len(flat) - 1)], -1)
+
+        # what the windows from a block reach bounds each of them from above: most candidates end here
+        reach = w + BLOCK - 1
+        rows = max(_CELLS // reach, 1)
+        at = np.concatenate([x[lcs(item, terms_from(x * BLOCK, reach, text[x])) >= need] for x in (at[a : a + rows] for a in range(0, len(at), rows))])
+        rows = max(rows // BLOCK, 1)
+        for a in range(0, len(at), rows):
+            x = at[a : a + rows]
+            start = (x[:, None] * BLOCK + np.arange(BLOCK)).reshape(-1)
+            ok, share = verified(item, idf, terms_from(start, w, np.repeat(text[x], BLOCK)))
+            share = np.where(ok, share, -1).reshape(-1, BLOCK)
+            best = share.argmax(axis=1)
+            good = share.max(axis=1) >= 0
+            x, best, share = x[good], best[good], share.max(axis=1)[good]
+            out.append((text[x], np.full(len(x), i), share, (x - first[text[x]]) * BLOCK + best))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def cosines(bench: Benchmark, rows: np.ndarray, targets: np.ndarray, numbers: np.ndarray, counts: np.ndarray, found: tuple[np.ndarray, ...], length: int, stride: int) -> np.ndarray:
+    """For each window found, the highest cosine of its item with a passage that starts in it, or with the one around its start."""
+    text, item, _, at = found
+    wide = np.array([width(t) for t in bench.items])[item]
+    last = np.maximum(-(-(counts - length) // stride), 0)[text]
+    lo = np.minimum(at // stride, last)
+    n = np.minimum((at + wide - 1) // stride, last) - lo + 1
+    window = np.repeat(np.arange(len(n)), n)
+    begin = (np.cumsum(counts) - counts)[text[window]]
+    start = (lo[window] + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)) * stride
+    rows = np.concatenate([rows, np.zeros((1, rows.shape[1]), rows.dtype)])
+    out = np.full(len(n), -1.0)
+    for a in range(0, len(window), 1024):
+        part = slice(a, a + 1024)
+        place = start[part, None] + np.arange(length)
+        inside = place < counts[text[window[part]]][:, None]
+        term = np.where(inside, numbers[np.minimum(begin[part, None] + place, len(numbers) - 1)], bench.size)
+        cosine = (unit(rows[term].sum(axis=1)) * targets[item[window[part]]]).sum(axis=1)
+        np.maximum.at(out, window[part], cosine)
+    return out
 
 
 def sequences(docs: DataFrame, benchmark: Benchmark) -> DataFrame:
@@ -277,7 +369,7 @@ def basis_of(seqs: DataFrame, idf: np.ndarray, length: int, rank: int, oversampl
     return (Q @ vectors[:, np.argsort(-values)[:rank]]).astype(np.float32)
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, length: int = LENGTH, stride: int = STRIDE, rank: int = RANK, near: float = NEAR) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, length: int = LENGTH, stride: int = STRIDE, rank: int = RANK) -> DataFrame:
     """doc_id, item_id, share (of the item's terms, in order) and cosine: one row for each document and item that it holds."""
     spark = docs.sparkSession
     # the benchmark is the stated query set: its items go to every task
@@ -293,61 +385,20 @@ def matches(docs: DataFrame, benchmark: DataFrame, length: int = LENGTH, stride:
     targets = bench.vectors(weight, basis)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, used = basis * weight[:, None], np.append(weight > 0, False)
-        # an item shorter than a passage shares it with other terms: the bound falls with its share
-        bound = near * np.minimum([max(len(t), 1) / length for t in bench.items], 1).astype(np.float32)
+        rows = basis * weight[:, None]
         for batch in batches:
             for part, numbers, counts in _numbers(batch):
-                text, start, end = passages(counts, length, stride)
-                found = []
-                for lo in range(0, len(start), 4096):
-                    cosine = unit(_sums(numbers, used, rows, start[lo : lo + 4096], end[lo : lo + 4096])) @ targets.T
-                    p, i = np.nonzero(cosine >= bound)
-                    found.append((p + lo, i, cosine[p, i]))
-                if not found:
-                    continue
-                p, i, c = (np.concatenate(x) for x in zip(*found, strict=True))
-                out = check(bench, idf, numbers, counts, text, start, end, p, i, c, length)
-                if out:
-                    t, item, share, cos = zip(*out, strict=True)
-                    take = pa.array(t, pa.int64())
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(take), pa.array([bench.ids[x] for x in item], pa.int64()), pa.array(share, pa.float64()), pa.array(cos, pa.float64())], names=["doc_id", "item_id", "share", "cosine"])
+                found = found_in(bench, idf, numbers, counts)
+                if len(found[0]):
+                    text, item, share, _ = found
+                    cosine = cosines(bench, rows, targets, numbers, counts, found, length, stride)
+                    columns = [part.column(0).take(pa.array(text, pa.int64())), pa.array([bench.ids[x] for x in item], pa.int64()), pa.array(share, pa.float64()), pa.array(cosine, pa.float64())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "item_id", "share", "cosine"])
 
     # the stored order keeps a document whole, so a document's rows are final; repeated rows fall together here
     return seqs.mapInArrow(run, schema).groupBy("doc_id", "item_id").agg(F.max("share").alias("share"), F.max("cosine").alias("cosine"))
 
 
-def check(bench: Benchmark, idf: np.ndarray, numbers: np.ndarray, counts: np.ndarray, text: np.ndarray, start: np.ndarray, end: np.ndarray, p: np.ndarray, i: np.ndarray, cosine: np.ndarray, length: int) -> list[tuple]:
-    """(text, item, share, cosine) of the verified candidates: passages p for items i."""
-    begin = np.cumsum(counts) - counts
-    out = []
-    order = np.lexsort((p, i))
-    p, i, cosine = p[order], i[order], cosine[order]
-    for a, b in zip(*(lambda f: (f, np.append(f[1:], len(i))))(np.flatnonzero(np.diff(i, prepend=-1))), strict=True):
-        item = bench.items[int(i[a])]
-        if not len(item):
-            continue
-        own = p[a:b]
-        # a passage that holds few of the item's terms is no part of a copy or paraphrase
-        held = np.zeros(bench.size + 1, bool)
-        held[item] = True
-        at = start[own][:, None] + np.arange(length)
-        some = (held[numbers[np.minimum(at, len(numbers) - 1)]] & (at < end[own][:, None])).sum(axis=1) >= ALIKE * min(len(item), length)
-        if not some.any():
-            continue
-        own, cosines = own[some], cosine[a:b][some]
-        lo = np.maximum(start[own] - len(item), begin[text[own]])
-        hi = np.minimum(end[own] + len(item), begin[text[own]] + counts[text[own]])
-        # neighbouring passages of a text share their span
-        new = np.concatenate([[True], (text[own][1:] != text[own][:-1]) | (start[own][1:] > end[own][:-1])])
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(own)) - 1
-        ok, best = verified(item, idf, numbers, lo[first], hi[last])
-        top = np.maximum.reduceat(cosines, first)
-        out += [(int(text[own[f]]), int(i[a]), float(s), float(c)) for f, s, c, good in zip(first, best, top, ok, strict=True) if good]
-    return out
-
-
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """docs without those that hold an item. A row with a null id goes if any null-id row holds one."""
     bad = matches(docs, benchmark, **options).select(F.col("doc_id").alias("__id")).distinct()

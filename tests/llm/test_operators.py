@@ -322,3 +322,47 @@ def test_decontamination(spark):
 def test_empty_documents(spark, tmp_path, name):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     assert queries.QUERIES[name](spark, str(tmp_path)).count() == 0
+
+
+def held_items(texts, items):
+    """Brute force: (text, item) where any window of the text holds the item by the rule of verification."""
+    bench = decontam.Benchmark(list(enumerate(items)))
+    numbers = [bench.number(decontam.terms([t])[0]) for t in texts]
+    cut = [x[a : a + decontam.LENGTH] for x in numbers for a in range(0, len(x), decontam.LENGTH)]
+    df = sum(np.bincount(np.unique(x), minlength=bench.size + 1)[: bench.size] for x in cut)
+    idf = np.log((1 + len(cut)) / (1 + df)).astype(np.float32)
+    out = set()
+    for k, item in enumerate(bench.items):
+        n, w, weight, answer = len(item), int(np.ceil(decontam.SLACK * len(item))), idf[item], item[-decontam.ANSWER :]
+        for i, x in enumerate(numbers):
+            rows = np.stack([x[a : a + w] for a in range(max(len(x) - w, 0) + 1)])
+            share, last = decontam.lcs(item, rows) / n, decontam.lcs(answer, rows) / len(answer)
+            if any(s >= decontam.SAME or s >= decontam.ALIKE and a >= decontam.ALIKE and weight[np.isin(item, r)].sum() >= decontam.MASS * weight.sum() for s, a, r in zip(share, last, rows, strict=True)):
+                out.add((i, k))
+    return out
+
+
+def changed(rng, item, share, words):
+    """The item with a share of its terms replaced, or followed by others, all but the last six."""
+    out, insert = [], rng.random() < 0.3
+    for j, w in enumerate(item):
+        hit = j < len(item) - 6 and rng.random() < share
+        out += [w, rng.choice(words)] if hit and insert else [rng.choice(words)] if hit else [w]
+    return out
+
+
+def test_decontamination_of_paraphrases_against_brute_force(spark):
+    rng = random.Random(21)
+    words = ["".join(rng.choice("abcdeilmnorst") for _ in range(rng.randint(3, 8))) for _ in range(600)]
+    text = lambda n: [rng.choice(WORDS) if rng.random() < 0.5 else rng.choice(words) for _ in range(n)]
+    items = [text(rng.randint(15, 50)) for _ in range(12)]
+    texts = []
+    for i in range(300):
+        body = text(rng.choice([5, 60, 150]))
+        at = rng.randint(0, len(body))
+        texts.append(" ".join([*body[:at], *(changed(rng, items[i % 12], rng.choice([0.15, 0.25, 0.35]), words) if i % 3 else []), *body[at:]]))
+    expected = held_items(texts, [" ".join(x) for x in items])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontam.matches(docs, bench).collect()} == expected
+    assert 120 < len(expected) < 200
