@@ -366,3 +366,21 @@ def test_decontamination_of_paraphrases_against_brute_force(spark):
     bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
     assert {(r.doc_id, r.item_id) for r in decontam.matches(docs, bench).collect()} == expected
     assert 120 < len(expected) < 200
+
+
+def test_decontamination_by_items_longer_than_a_passage(spark):
+    rng = random.Random(33)
+    words = ["".join(rng.choice("abcdeilmnorst") for _ in range(rng.randint(3, 8))) for _ in range(3000)]
+    text = lambda n: [rng.choice(WORDS) if rng.random() < 0.5 else rng.choice(words) for _ in range(n)]
+    items = [text(n) for n in (24, 79, 190, 300, 363, 1200)]
+    texts = []
+    for i in range(90):
+        body, item = text(rng.choice([0, 60, 400])), items[i % 6]
+        at = rng.randint(0, len(body))
+        leak = [item, changed(rng, item, 0.25, words), item[: len(item) // 2]][i // 6 % 3]  # copies, paraphrases, and halves, which are neither
+        texts.append(" ".join([*body[:at], *leak, *body[at:]]))
+    expected = held_items(texts, [" ".join(x) for x in items])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontam.matches(docs, bench).collect()} == expected
+    assert {(i, i % 6) for i in range(90) if i // 6 % 3 == 0} <= expected
