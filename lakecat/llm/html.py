@@ -1,7 +1,8 @@
 """HTML extraction by layout: all visible text of a page, set out as a reader sees it.
 
 A tree builder reads tags with the implied ones of HTML (a paragraph ends where a block starts, a list item where the next one
-starts, table parts nest by rank, void elements have no end, an end tag closes what is open inside it), then a renderer writes
+starts, table parts nest by rank, void elements have no end, an end tag closes what is open inside it; what stands in a table outside of its
+cells goes before it, cells in elements between row and cell count as the row's), then a renderer writes
 the visible text: runs of white space are one space outside <pre>, blocks stand on lines of their own, paragraphs, headings,
 lists and tables are set off by a blank line, list items have marks and indent, table cells are aligned in columns.
 
@@ -62,7 +63,8 @@ _SCOPE = frozenset("table td th caption button object template html".split())
 
 _TOKEN = re.compile(r"<!--(?:>|->|.*?(?:-->|--!>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_SPACE = re.compile(r"[ \t\n\f\r]+")
+_WHITE = " \t\n\f\r"
+_SPACE = re.compile(rf"[{_WHITE}]+")
 _RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
 _SIMPLE = re.compile(r"\s*([a-z][a-z0-9]*)?(?:([.#])([\w-]+))?\s*\Z", re.I)
 
@@ -87,6 +89,8 @@ def parse(page: str) -> Node:
     stack = [root]
 
     def text(value: str) -> None:
+        if stack[-1].tag == "head" and value.strip(_WHITE):
+            stack.pop()  # its end tag and the body's start were left out
         if value:
             stack[-1].children.append(value)
 
@@ -352,18 +356,38 @@ class Renderer:
         rows: list[list[tuple[int, list[str]]]] = []
         held: dict[int, int] = {}  # columns that a cell of an earlier row still covers, and for how many rows
 
+        def apart(of: Node, seen: bool) -> None:
+            inner = Flow()
+            self.element(of, inner, seen, False)
+            captions.extend(inner.done())
+
+        def holds_cells(of: Node) -> bool:
+            return of.tag not in ("table", *NEVER) and any(not isinstance(c, str) and (c.tag in ("td", "th", "tr", "thead", "tbody", "tfoot") or holds_cells(c)) for c in of.children)
+
+        def inside(of: Node, seen: bool) -> Iterator[tuple[Node, bool]]:
+            """The cells of a row with whether they are visible, also those in elements that do not belong there; other text goes before the table."""
+            for c in of.children:
+                if isinstance(c, str):
+                    if seen and c.strip(_WHITE):
+                        captions.append(_SPACE.sub(" ", c).strip(_WHITE))
+                    continue
+                laid, own = self.sheet.shown(c, seen)
+                if not laid:
+                    continue
+                if c.tag in ("td", "th"):
+                    yield c, own
+                elif holds_cells(c):
+                    yield from inside(c, own)
+                else:
+                    apart(c, own)
+
         def row(tr: Node, seen_row: bool) -> None:
             cells, column = [], 0
             # this row takes up one row of each cell that reaches into it
             covered = {c for c, left in held.items() if left > 0}
             for c in covered:
                 held[c] -= 1
-            for td in tr.children:
-                if isinstance(td, str) or td.tag not in ("td", "th"):
-                    continue
-                laid, seen = self.sheet.shown(td, seen_row)
-                if not laid:
-                    continue
+            for td, seen in inside(tr, seen_row):
                 while column in covered:
                     cells.append((1, []))
                     column += 1
@@ -394,10 +418,10 @@ class Renderer:
                     loose = Node("tr", {})
                     loose.children.append(c)
                     row(loose, seen)
+                elif c.tag != "caption" and holds_cells(c):
+                    part(c, own)
                 elif c.tag not in ("colgroup", "col"):
-                    inner = Flow()
-                    self.element(c, inner, own, False)
-                    captions.extend(inner.done())
+                    apart(c, own)
 
         part(node, visible)
         width: dict[int, int] = {}

@@ -41,3 +41,20 @@ def test_null_pages_and_clashing_columns(spark):
     out = extracted(rows)
     assert sorted((r.page_id or 0, r.text) for r in out.collect()) == [(0, "a"), (0, "a"), (1, "")]
     assert extracted(rows.where("false")).count() == 0
+
+
+LOOSE = {
+    "<table><tr><form><td>a</td><td>b</td></form></tr><tr><td>c<td>d</table>": "a | b\nc | d",
+    "<table><form><tr><td>a<td>b</tr></form></table>": "a | b",
+    "<table><tr><div>x <b>y</b></div><td>a</td></tr></table>": "x y\na",
+    "<table><tr>loose<td>a</td>more</tr></table>": "loose\nmore\na",
+    "<table><tr><td>a</td><div hidden>h</div><form style='display:none'><td>n</td></form></tr></table>": "a",
+    "<table><tr><div><table><tr><td>in</table></div><td>out</table>": "in\nout",
+    "<html><head><title>t</title><meta charset=x>text<p>more": "text\n\nmore",
+    "<head> <title>t</title> <p>p": "p",
+}
+
+
+@pytest.mark.parametrize("page", LOOSE)
+def test_text_outside_cells_and_after_an_open_head_is_kept(page):
+    assert render(page) == LOOSE[page]
