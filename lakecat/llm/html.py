@@ -6,9 +6,10 @@ cells goes before it, cells in elements between row and cell count as the row's)
 the visible text: runs of white space are one space outside <pre>, blocks stand on lines of their own, paragraphs, headings,
 lists and tables are set off by a blank line, list items have marks and indent, table cells are aligned in columns.
 
-Invisible are: what browsers never show (scripts, styles, head, templates, fallback content, comments), elements with `hidden`, with
-display:none, visibility:hidden or collapse (a descendant may be visible again) or content-visibility:hidden in their style attribute or in a
-style sheet rule for one tag, class or id, closed <details> but for the summary, closed dialogs, hidden inputs.
+Invisible are: what browsers never show (scripts, styles, head, templates, fallback content, comments), hidden inputs, closed <details> but
+for the summary, and what the cascade of style sheets and style attributes gives display:none, visibility:hidden or collapse (a
+descendant may be visible again) or content-visibility:hidden; `hidden` and closed dialogs are display:none unless a declaration shows them.
+Rules count for screens. Rules that cannot be decided here (combinators, attributes, window sizes) may show an element, never hide it.
 
 Defined results: null and empty pages give an empty text; malformed markup never fails: what is no tag is text; elements
 deeper than DEPTH count as children of the one at that depth, as in browsers; a cell is padded to at most PAD columns; repeated rows
@@ -65,8 +66,19 @@ _TOKEN = re.compile(r"<!--(?:>|->|.*?(?:-->|--!>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WHITE = " \t\n\f\r"
 _SPACE = re.compile(rf"[{_WHITE}]+")
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
-_SIMPLE = re.compile(r"\s*([a-z][a-z0-9]*)?(?:([.#])([\w-]+))?\s*\Z", re.I)
+_CSS_NOISE = re.compile(r"/\*.*?(?:\*/|\Z)|<!--|-->", re.S)
+_CSS_STRING = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'", re.S)
+_NAME = r"(?:[\w-]|\\.)+"
+_COMPOUND = re.compile(rf"(\*|[a-z][a-z0-9-]*)?((?:[.#]{_NAME})*)\Z", re.I)
+_PART = re.compile(rf"([.#])({_NAME})")
+_GROUP = re.compile(r"\([^()]*\)|\[[^\]]*\]")
+#: Selectors of what is no element, or of states that a page at rest is not in.
+_ELSEWHERE = re.compile(r"::|:(?:before|after|first-line|first-letter|hover|active|focus|focus-within|focus-visible|target)(?![\w-])", re.I)
+_PSEUDO = re.compile(r"(?<!\\):[\w-]+")
+_COUNTED = re.compile(r"(#)[\w\\-]+|(\.)[\w\\-]+|(\[)[^\]]*|(?<!\\):([\w-]+)|([a-z][\w-]*)", re.I)
+_OTHER_MEDIA = frozenset("print speech aural braille embossed handheld projection tty tv".split())
+#: Blocks in blocks of a style sheet below this depth are not read.
+NESTED = 16
 
 
 class Node:
@@ -153,58 +165,148 @@ def parse(page: str) -> Node:
     return root
 
 
-def _declared(style: str) -> tuple[bool | None, bool | None]:
-    """(is display none, is it visible), None where the declarations do not say."""
-    display = visible = None
+def _declared(style: str) -> dict[str, tuple[bool, str]]:
+    """(is it important, value) of the declarations that decide on visibility; those that browsers would ignore are left out."""
+    out: dict[str, tuple[bool, str]] = {}
     for part in style.lower().split(";"):
         name, _, value = part.partition(":")
-        value = value.replace("!important", "").strip()
-        name = name.strip()
-        if name == "display":
-            display = value == "none"
-        elif name == "visibility":
-            visible = value not in ("hidden", "collapse")
-        elif name == "content-visibility" and value == "hidden":
-            display = True
-    return display, visible
+        name, (value, mark, _) = name.strip(), value.partition("!")
+        value = value.strip()
+        if name == "display" and value or name == "visibility" and value in _VISIBILITY or name == "content-visibility" and value in ("hidden", "visible", "auto"):
+            if mark or not out.get(name, (False,))[0]:
+                out[name] = (bool(mark), value)
+    return out
+
+
+_VISIBILITY = frozenset("visible hidden collapse inherit initial unset revert".split())
+
+
+def _on_screen(media: str) -> bool | None:
+    """Does a media query list hold on a screen; None where it depends on the window."""
+    said = []
+    for part in media.lower().split(","):
+        words = part.split()
+        if words[:1] == ["only"]:
+            words = words[1:]
+        turned = words[:1] == ["not"]
+        words = words[turned:]
+        if not words or words[0] in ("all", "screen"):
+            holds = True if len(words) < 2 else None
+        else:
+            holds = False if words[0] in _OTHER_MEDIA else None
+        said.append(holds if holds is None or not turned else not holds)
+    return True if True in said else None if None in said else False
+
+
+def _rules(css: str, sure: bool, depth: int = 0) -> Iterator[tuple[str, str, bool]]:
+    """(selectors, declarations, does it surely hold) of the rules that may hold on a screen, in order."""
+    start = open_at = level = 0
+    for m in re.finditer(r"[{};]", css):
+        sign = m[0]
+        if sign == "{":
+            level += 1
+            if level == 1:
+                open_at = m.start()
+        elif level == 0:
+            start = m.end()
+        elif sign == "}":
+            level -= 1
+            if level == 0:
+                yield from _rule(css[start:open_at].strip(), css[open_at + 1 : m.start()], sure, depth)
+                start = m.end()
+    if level:  # the end of the sheet closes what is open
+        yield from _rule(css[start:open_at].strip(), css[open_at + 1 :], sure, depth)
+
+
+def _rule(prelude: str, body: str, sure: bool, depth: int) -> Iterator[tuple[str, str, bool]]:
+    if not prelude.startswith("@"):
+        yield prelude, body.split("{")[0] if "{" in body else body, sure
+        return
+    name = re.match(r"@[\w-]*", prelude)[0].lower()
+    holds = _on_screen(prelude[6:]) if name == "@media" else True if name == "@layer" else None if name in ("@supports", "@container") else False
+    if holds is not False and depth < NESTED:
+        yield from _rules(body, sure and bool(holds), depth + 1)
 
 
 class Sheet:
-    """Visibility rules for one tag, class or id."""
+    """The page's rules on visibility, applied in the order of the cascade.
+
+    Selectors are a tag, classes and ids, all of one element. Rules of other selectors, or under conditions that depend on the window, may
+    show an element that they could hold for, but never hide one.
+    """
 
     def __init__(self, root: Node):
-        self.rules: dict[tuple[str, str, str], tuple] = {}
+        self.rules: dict[str, list[tuple]] = {}
+        order = 0
+        for node in self._styles(root):
+            media = _on_screen(node.attributes.get("media", ""))
+            if media is False:
+                continue
+            css = _CSS_STRING.sub('""', _CSS_NOISE.sub(" ", "".join(node.children)))
+            for selectors, body, sure in _rules(css, bool(media)):
+                said = _declared(body)
+                if said:
+                    order += 1
+                    for s in re.split(r",(?![^()]*\))", selectors) if "(" in selectors else selectors.split(","):
+                        self._add(s.strip(), said, sure, order)
+
+    @staticmethod
+    def _styles(root: Node) -> Iterator[Node]:
         todo = [root]
         while todo:
             node = todo.pop()
             if node.tag == "style":
-                for selectors, body in _RULE.findall("".join(node.children)):
-                    said = _declared(body)
-                    if said != (None, None):
-                        for s in selectors.split(","):
-                            if (m := _SIMPLE.match(s)) and (m[1] or m[3]):
-                                self.rules[(m[1] or "").lower(), m[2] or "", m[3] or ""] = said
-            todo += [c for c in node.children if not isinstance(c, str)]
+                yield node
+            todo += [c for c in reversed(node.children) if not isinstance(c, str)]
+
+    def _add(self, selector: str, said: dict[str, tuple[bool, str]], sure: bool, order: int) -> None:
+        m = _COMPOUND.match(selector) if selector else None
+        if not m:
+            bare, n = selector, 1
+            while n:
+                bare, n = _GROUP.subn("", bare)
+            last = re.split(r"[\s>+~]+", bare)[-1]
+            if not selector or _ELSEWHERE.search(bare):
+                return
+            m, sure = _COMPOUND.match(_PSEUDO.sub("", last)), False
+            if not m:
+                return
+        if not sure:
+            said = {k: v for k, v in said.items() if v[1] not in ("none", "hidden", "collapse", "inherit", "unset", "revert")}
+        ids = classes = tags = 0
+        for c in _COUNTED.finditer(selector):
+            ids, classes, tags = ids + bool(c[1]), classes + bool(c[2] or c[3] or c[4]), tags + bool(c[5])
+        tag = "" if m[1] in (None, "*") else m[1].lower()
+        parts = [(sign, re.sub(r"\\(.)", r"\1", name)) for sign, name in _PART.findall(m[2])]
+        key = "".join(parts[0]) if parts else tag or "*"
+        if said:
+            self.rules.setdefault(key, []).append((tag, parts, said, (ids, classes, tags, order)))
 
     def shown(self, node: Node, visible: bool) -> tuple[bool, bool]:
         """(is the element laid out, is its own text visible)."""
         tag, a = node.tag, node.attributes
-        if tag in NEVER or "hidden" in a or tag == "dialog" and "open" not in a or tag == "input" and a.get("type", "").lower() == "hidden":
+        if tag in NEVER or tag == "input" and a.get("type", "").lower() == "hidden":
             return False, False
+        display = "none" if "hidden" in a or tag == "dialog" and "open" not in a else ""
+        if not self.rules and "style" not in a:
+            return not display, visible and not display
+        won: dict[str, tuple] = {"display": ((), display)}
         if self.rules:
-            keys = [("", ""), *((".", c) for c in a.get("class", "").split()), *([("#", a["id"])] if "id" in a else [])]
-            for sign, name in keys:
-                for own in ("", tag) if sign else (tag,):
-                    display, seen = self.rules.get((own, sign, name), (None, None))
-                    if display:
-                        return False, False
-                    visible = visible if seen is None else seen
+            classes = a.get("class", "").split()
+            for key in ("*", tag, *{"." + c for c in classes}, *(["#" + a["id"]] if "id" in a else [])):
+                for own, parts, said, weight in self.rules.get(key, ()):
+                    if (not own or own == tag) and all(name in classes if sign == "." else name == a.get("id") for sign, name in parts):
+                        for name, (important, value) in said.items():
+                            if name not in won or won[name][0] < (important, False, weight):
+                                won[name] = ((important, False, weight), value)
         if "style" in a:
-            display, seen = _declared(a["style"])
-            if display:
-                return False, False
-            visible = visible if seen is None else seen
-        return True, visible
+            for name, (important, value) in _declared(a["style"]).items():
+                if name not in won or won[name][0] < (important, True, ()):
+                    won[name] = ((important, True, ()), value)
+        if won["display"][1] == "none" or "content-visibility" in won and won["content-visibility"][1] == "hidden":
+            return False, False
+        seen = won["visibility"][1] if "visibility" in won else "inherit"
+        return True, visible if seen in ("inherit", "unset", "revert") else seen in ("visible", "initial")
 
 
 class Flow:

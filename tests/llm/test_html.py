@@ -58,3 +58,32 @@ LOOSE = {
 @pytest.mark.parametrize("page", LOOSE)
 def test_text_outside_cells_and_after_an_open_head_is_kept(page):
     assert render(page) == LOOSE[page]
+
+
+STYLED = {
+    "<style>.x{display:none}</style><p class=x style='display:block'>a</p><p class=x>b</p>": "a",
+    "<style>.a{display:none} .b{display:block}</style><p class='a b'>s</p><p class='b a'>t</p><p class=a>h</p>": "s\n\nt",
+    "<style>.b{display:block} .a{display:none}</style><p class='a b'>h</p>s": "s",
+    "<style>#i{display:block} p.a{display:none}</style><p id=i class=a>s</p>": "s",
+    "<style>.a{display:none!important} #i{display:block}</style><p id=i class=a style='display:block'>h</p>s": "s",
+    "<style>@media print{.nav{display:none}} @media screen{.h{display:none}}</style><p class=nav>s</p><p class=h>h</p>": "s",
+    "<style media=print>p{display:none}</style><p>s": "s",
+    "<style>@media (max-width:9px){.n{display:none} .o{display:block}} /* { */ .q{display:none}</style><p class=n>s</p><p class=q>h</p>": "s",
+    "<style>.tab{display:none} .tab.active{display:block}</style><p class=tab>h</p><p class='tab active'>s</p>": "s",
+    "<style>.m{display:none} nav > .m[open]{display:block}</style><p class=m>s</p>": "s",
+    "<style>.m{display:none} .m:hover{display:block} .m::before{display:block}</style><p class=m>h</p>s": "s",
+    "<style>.v{visibility:hidden} .v.w{visibility:visible}</style><p class=v>h<b class='v w'>s</b></p>": "s",
+    "<p hidden style='display:block'>s</p><p hidden>h</p>": "s",
+    "<style>.x{display:none</style><p class=x>h</p>s": "s",
+    "<style>@import url(a); @font-face{src:x} .x{display:none; color:red;}</style><p class=x>h</p>s": "s",
+}
+
+
+@pytest.mark.parametrize("page", STYLED)
+def test_visibility_follows_the_cascade(page):
+    assert render(page) == STYLED[page]
+
+
+@pytest.mark.parametrize("page", ["<table><div>" * 300 + "x", "<table><tr><div>" * 300 + "x", "<table><tr><form><td>" * 200 + "x", "<style>" + "@media screen{" * 3000 + "p{display:none}</style>x", "<style>}}{;{p{</style>x"])
+def test_deep_tables_and_odd_sheets_keep_their_text(page):
+    assert render(page).endswith("x")
