@@ -38,6 +38,11 @@ WINDOW, K = 35, 10
 _BLOCK_BYTES = 2 << 20
 
 
+#: Grams are compared by the bits above _LOW; a piece of so many grams is numbered in the bits below.
+_PLACE_BITS = 24
+_LOW = np.uint64((1 << 24) - 1)
+
+
 class Words:
     """The words of some texts, one after another, joined by single spaces in `bytes`."""
 
@@ -64,6 +69,17 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(out[: len(x) - w + 1], out[w - have : len(x) - have + 1]) if have < w else out
 
 
+def anchors(grams: np.ndarray, w: int) -> np.ndarray:
+    """Place of the least of each w consecutive grams, the first of equal ones; places are packed into the low bits, piece by piece."""
+    low = np.uint64((1 << _PLACE_BITS) - 1)
+    step = (1 << _PLACE_BITS) - w
+    out = []
+    for a in range(0, len(grams) - w + 1, step):
+        part = grams[a : a + step + w - 1]
+        out.append((sliding_min((part & ~_LOW) | np.arange(len(part), dtype=np.uint64), w) & low).astype(np.int64) + a)
+    return np.concatenate(out)
+
+
 def paths_of(texts: list[bytes], window: int, k: int) -> tuple[np.ndarray, ...]:
     """(text, lo, n, anchor, digest) of each path: n edges from word lo on that share an anchor."""
     words = Words(texts)
@@ -72,9 +88,7 @@ def paths_of(texts: list[bytes], window: int, k: int) -> tuple[np.ndarray, ...]:
     if total < window:
         return none
     grams = common.gram_hashes(words.hashes(), k)
-    low = np.uint64((1 << 24) - 1)
-    assert total <= int(low)
-    anchor = (sliding_min((grams & ~low) | np.arange(len(grams), dtype=np.uint64), w) & low).astype(np.int64)
+    anchor = anchors(grams, w)
     text = np.repeat(np.arange(len(texts)), words.counts)[: len(anchor)]
     at = np.flatnonzero(np.arange(len(anchor)) + window <= words.ends_of[text])
     if not len(at):

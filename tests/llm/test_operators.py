@@ -384,3 +384,19 @@ def test_decontamination_by_items_longer_than_a_passage(spark):
     bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
     assert {(r.doc_id, r.item_id) for r in decontam.matches(docs, bench).collect()} == expected
     assert {(i, i % 6) for i in range(90) if i // 6 % 3 == 0} <= expected
+
+
+def test_substring_paths_do_not_depend_on_pieces(texts, monkeypatch):
+    data = [(t or "").encode() for t in texts]
+    whole = substring.paths_of(data, 35, 10)
+    monkeypatch.setattr(substring, "_PLACE_BITS", 7)  # the texts are longer than 128 words
+    pieces = substring.paths_of(data, 35, 10)
+    assert len(whole[0]) > 100 and all((a == b).all() for a, b in zip(whole, pieces, strict=True))
+
+
+def test_substring_anchors_past_24_bits():
+    grams = np.random.default_rng(1).integers(0, 1 << 63, (1 << 24) + 500).astype(np.uint64)
+    at = substring.anchors(grams, 26)
+    assert len(at) == len(grams) - 25
+    for p in [0, *range((1 << 24) - 60, len(at), 7), len(at) - 1]:
+        assert at[p] == p + int((grams[p : p + 26] >> np.uint64(24)).argmin())
