@@ -116,6 +116,27 @@ class Slots(dict):
         return out
 
 
+class Growing:
+    """An array that entries are added to; room doubles, so that adding costs by what is added."""
+
+    def __init__(self, dtype, start: Iterable = ()):
+        start = np.asarray(start if isinstance(start, np.ndarray) else list(start), dtype)
+        self._room, self._n = start.copy(), len(start)
+
+    @property
+    def all(self) -> np.ndarray:
+        return self._room[: self._n]
+
+    def add(self, values: np.ndarray) -> None:
+        n = self._n + len(values)
+        if n > len(self._room):
+            room = np.empty(max(n, 2 * len(self._room)), self._room.dtype)
+            room[: self._n] = self.all
+            self._room = room
+        self._room[self._n : n] = values
+        self._n = n
+
+
 class Powers:
     """Powers of an odd number modulo 2**64, grown on demand."""
 

@@ -8,27 +8,30 @@ and which documents have how many of them.
 
 Writing goes through Spark's committer, so a lost executor costs a rerun of its tasks and nothing else, and the store can be on
 any file system that Spark writes to. Documents reach their part as ids, not as texts, by ranges of doc_id whose bounds come
-from an approximate quantile of all ids (one number per part).
+from approximate quantiles of all rows (a bound per part). An id that holds more rows than a part, null included, is split
+over several parts, in the order of its texts' hashes; parts are even by rows, and a task packs its rows block by block.
 
-Encoding looks up repeated pieces of text. A piece ends where a space follows a character that is no white space; byte-level
+Encoding looks up repeated pieces of text, and the pre-tokens of new pieces. A piece ends where a space follows a character that is no white space; byte-level
 pre-tokenisation always starts a new token there, whatever stands around, so pieces encode alone as in their text.
 
 Defined results: a null text counts as empty and has the end id only; rows with a null doc_id come first; rows with equal ids
-stand side by side, ordered by their ids' bytes; an empty table gives an empty store; extra columns are not stored.
+stand side by side, ordered by a hash of their text; a text of any length is encoded whole and cut only by the store's blocks
+(in one piece where it has no space); an empty table gives an empty store; extra columns, whatever their names, are not stored.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
 import zlib
-from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -36,19 +39,51 @@ from pyspark.sql import functions as F
 from . import common
 
 BLOCK, LEVEL, END = 1 << 16, 3, 0
-_BATCH_BYTES, _CACHE = 4 << 20, 300_000
-#: White space other than the common four; texts with any of them take the careful split.
-_RARE = "".join(map(chr, [*range(0x0B, 0x0D), *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
-#: Runs of white space that must not be cut within.
-_RUNS = ("  ", " \n", " \t", " \r", "\n\n", "\t\n", "\r\n")
+_BATCH_BYTES, _CACHE = 8 << 20, 1_000_000
+#: White space other than the common four, as a class of RE2.
+_RARE = r"\x0B\x0C\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+#: Texts with runs of white space that must not be cut within, with rare white space, or with a space at the end take the careful split.
+_HARD = rf"[ \t\r] |[ \r\n\t]\n| [\t\r]|[{_RARE}]| $"
 _CUT = re.compile(r"(?<=\S) (?!\n)")
 
 
-def pieces(text: str) -> list[str]:
-    """The text cut before single spaces and line ends; all pieces but the first and those with a line end lack their leading space."""
-    if text.endswith(" ") or any(r in text for r in _RUNS) or any(c in text for c in _RARE):
-        return _CUT.split(text)
-    return text.replace("\n", " \n").split(" ")
+def _careful(text: str) -> list[str]:
+    """The keys of a text's pieces, cut before single spaces that follow a character that is no white space."""
+    first, *more = _CUT.split(text)
+    return ["\t" + first, *("\t " + p if p[:1] in ("\t", "\n") else p for p in more)]
+
+
+def keys(texts: pa.StringArray) -> tuple[pa.Array, np.ndarray]:
+    """Keys of the pieces of the texts, one after another, and how many each text has.
+
+    A key is a piece without the space it starts with; one that starts with a line end has no such space, and what follows a
+    tab is a piece as it stands. Plain texts are cut outside of Python.
+    """
+    hard = pc.match_substring_regex(texts, _HARD)
+    if pc.any(hard).as_py():
+        plain = pc.if_else(hard, "", texts)
+    else:
+        plain = texts
+    marked = pc.replace_substring(pc.binary_join_element_wise("", plain, "\t"), "\n", " \n")
+    split = pc.split_pattern(marked, " ")
+    counts = pc.list_value_length(split).to_numpy().astype(np.int64)
+    flat = split.flatten()
+    odd = np.flatnonzero(hard.to_numpy(zero_copy_only=False))
+    if len(odd):
+        own = [_careful(x) for x in texts.take(pa.array(odd)).to_pylist()]
+        # a hard text's place is held by one empty key
+        stops, parts, at = np.cumsum(counts), [], 0
+        for i, k in zip(odd.tolist(), own, strict=True):
+            parts += [flat.slice(at, int(stops[i]) - 1 - at), pa.array(k, flat.type)]
+            at = int(stops[i])
+        flat = pa.concat_arrays([*parts, flat.slice(at)])
+        counts[odd] = [len(k) for k in own]
+    return flat, counts
+
+
+def piece_of(key: str) -> str:
+    """The piece of text that a key stands for."""
+    return key[1:] if key[:1] == "\t" else key if key[:1] == "\n" else " " + key
 
 
 #: What the byte-level pre-tokeniser does to text of ASCII and the Latin-1 letters only.
@@ -60,78 +95,149 @@ _KEPT = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 _SPELLING = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in _KEPT)}
 
 
-class _Words(dict):
-    """Ids of pre-tokens by the library's model, as bytes, remembered."""
+def _hashes(strings: pa.StringArray) -> np.ndarray:
+    offsets = np.frombuffer(strings.buffers()[1], np.int32, count=strings.offset + len(strings) + 1)[strings.offset :].astype(np.int64)
+    data = strings.buffers()[2]
+    return common.byte_hashes(np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8), offsets[:-1], offsets[1:])
 
-    def __init__(self, model):
-        self.tokenize = model.tokenize
 
-    def __missing__(self, word: str) -> bytes:
-        if word.isascii() and "\n" not in word:
-            spelt = word.replace(" ", "\u0120")
-        else:
-            spelt = word.encode().decode("latin-1").translate(_SPELLING)
-        out = self[word] = array("I", [t.id for t in self.tokenize(spelt)]).tobytes()
+class Table:
+    """Ids of strings; remembers those of up to `limit` strings, of the most frequent ones when there are more.
+
+    `learn` gives the ids of strings that are new, one after another, and how many each has. The strings are held in one buffer
+    and looked up by sorted hashes, so that a million of them take some tens of megabytes and no Python object each. What
+    a hash finds is compared with the string itself.
+    """
+
+    def __init__(self, learn: Callable[[pa.StringArray], tuple[np.ndarray, np.ndarray]], limit: int):
+        self.learn, self.limit = learn, limit
+        self.strings = pa.array([], pa.string())
+        self.hashes, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.flat, self.begin, self.seen = common.Growing(np.uint32), common.Growing(np.int64, [0]), common.Growing(np.int64)
+
+    def _trim(self) -> None:
+        """Forget all but the most frequent half of what may be held."""
+        keep = np.sort(np.argsort(-self.seen.all, kind="stable")[: min(self.limit, len(self.strings)) // 2])
+        sizes = np.diff(self.begin.all)[keep]
+        self.flat = common.Growing(np.uint32, self._gather(keep, sizes))
+        self.begin = common.Growing(np.int64, np.concatenate([[0], np.cumsum(sizes)]))
+        self.seen, self.strings = common.Growing(np.int64, self.seen.all[keep]), self.strings.take(pa.array(keep))
+        self.hashes, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self._index(_hashes(self.strings), np.arange(len(keep)))
+
+    def _index(self, hashes: np.ndarray, slots: np.ndarray) -> None:
+        order = np.argsort(hashes, kind="stable")
+        hashes, slots = hashes[order], slots[order]
+        at = np.searchsorted(self.hashes, hashes)
+        self.hashes, self.slots = np.insert(self.hashes, at, hashes), np.insert(self.slots, at, slots)
+
+    def _find(self, strings: pa.StringArray, hashes: np.ndarray) -> np.ndarray:
+        """Slots of the strings, -1 for those that are not held."""
+        if not len(self.hashes):
+            return np.full(len(strings), -1)
+        order = np.argsort(hashes)
+        at = np.empty(len(hashes), np.int64)
+        at[order] = np.minimum(np.searchsorted(self.hashes, hashes[order]), len(self.hashes) - 1)
+        slot = self.slots[at]
+        some = np.flatnonzero(self.hashes[at] == hashes)
+        same = pc.equal(strings.take(pa.array(some)), self.strings.take(pa.array(slot[some]))).to_numpy(zero_copy_only=False)
+        out = np.full(len(strings), -1)
+        out[some[same]] = slot[some[same]]
         return out
 
+    def _gather(self, slots: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        stops = np.cumsum(sizes)
+        at = np.repeat(self.begin.all[slots] - (stops - sizes), sizes)
+        at += np.arange(len(at))
+        return self.flat.all[at]
+
+    def ids(self, strings: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the strings one after another, and how many each has."""
+        if len(self.strings) > self.limit or self.strings.nbytes > 64 * self.limit + _BATCH_BYTES:
+            self._trim()
+        told = pc.dictionary_encode(strings)
+        hashes = _hashes(told.dictionary)
+        slot = self._find(told.dictionary, hashes)
+        new = slot < 0
+        if new.any():
+            fresh = told.dictionary.filter(pa.array(new))
+            slot[new] = len(self.strings) + np.arange(len(fresh))
+            flat, counts = self.learn(fresh)
+            self.begin.add(self.begin.all[-1] + np.cumsum(counts))
+            self.flat.add(flat)
+            self.seen.add(np.zeros(len(fresh), np.int64))
+            self._index(hashes[new], slot[new])
+            self.strings = pa.concat_arrays([self.strings, fresh])
+        own = told.indices.to_numpy()
+        self.seen.all[slot] += np.bincount(own, minlength=len(slot))
+        sizes = np.diff(self.begin.all)[slot][own]
+        return self._gather(slot[own], sizes), sizes
+
 
 class Encoder:
-    """Ids of texts; remembers the ids of up to `cache` pieces between calls, of the most frequent ones when there are more."""
+    """Ids of texts; remembers up to `cache` pieces and as many pre-tokens.
+
+    It reads files whose pre-tokeniser is the byte-level one with its own pattern, without normaliser and post-processor; another
+    file is refused.
+    """
 
     def __init__(self, path: str, cache: int = _CACHE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache = Tokenizer.from_file(path), cache
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        before = spec["pre_tokenizer"] or {}
+        if spec["model"]["type"] != "BPE" or spec["normalizer"] or spec["post_processor"] or before.get("type") != "ByteLevel" or before["add_prefix_space"] or not before["use_regex"]:
+            raise ValueError("a BPE file with the byte-level pre-tokeniser, without normaliser and post-processor is asked for")
+        if any(" " in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in spec["added_tokens"]):
+            raise ValueError("special strings that hold a space, take space beside them or are normalised are not read")
+        self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.vocab = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.words = _Words(self.tokenizer.model)
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special)) or r"(?!)").search
-        self.slot = common.Slots()
-        self.flat, self.begin, self.seen = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(0, np.int64)
-
-    def _trim(self) -> None:
-        """Forget all but the most frequent half of the cache."""
-        keys, keep = list(self.slot), np.sort(np.argsort(-self.seen, kind="stable")[: self.cache // 2])
-        sizes = np.diff(self.begin)[keep]
-        stops = np.concatenate([[0], np.cumsum(sizes)])
-        self.flat = self.flat[np.repeat(self.begin[keep] - stops[:-1], sizes) + np.arange(int(stops[-1]))]
-        self.begin, self.seen = stops, self.seen[keep]
-        self.slot = common.Slots(map(keys.__getitem__, keep.tolist()))
-        self.words.clear()
-
-    def _ids(self, text: str) -> bytes:
-        """Of one piece: plain Latin text is cut into pre-tokens here and goes to the library's model, other text through all of the library."""
-        if _SAFE(text) and not self.special(text):
-            tokens = _TOKENS(text)
-            return self.words[tokens[0]] if len(tokens) == 1 else b"".join(map(self.words.__getitem__, tokens))
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def _learn(self, new: list[str | tuple[str]]) -> None:
-        ids = [self._ids(p if p.startswith("\n") else " " + p) if isinstance(p, str) else self._ids(p[0]) for p in new]
-        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(ids), np.uint32)])
-        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) // 4)])
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids one after another, and how many each text has."""
-        if len(self.slot) > self.cache:
-            self._trim()
-        split = [pieces(x) for x in texts]
-        for s in split:
-            s[0] = (s[0],)  # the first piece has no leading space
-        flat = list(chain.from_iterable(split))
-        code = np.fromiter(map(self.slot.__getitem__, flat), np.int64, len(flat))
-        self._learn(self.slot.taken())
-        seen = np.bincount(code, minlength=len(self.slot))
-        seen[: len(self.seen)] += self.seen
-        self.seen = seen
-        sizes = np.diff(self.begin)[code]
-        stops = np.concatenate([[0], np.cumsum(sizes)])
-        at = np.repeat(self.begin[code] - stops[:-1], sizes) + np.arange(int(stops[-1]))
-        ends = np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))
-        return self.flat[at], np.diff(stops[ends], prepend=0)
+        self.pieces, self.words = Table(self._of_pieces, cache), Table(self._of_words, cache)
+
+    def _of_words(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """By the library's model, of pre-tokens in byte-level spelling."""
+        tokenize, out = self.tokenizer.model.tokenize, []
+        counts = np.empty(len(words), np.int64)
+        for i, word in enumerate(words.to_pylist()):
+            if word.isascii() and "\n" not in word:
+                spelt = word.replace(" ", "\u0120")
+            else:
+                spelt = word.encode().decode("latin-1").translate(_SPELLING)
+            own = [t.id for t in tokenize(spelt)]
+            counts[i] = len(own)
+            out += own
+        return np.array(out, np.uint32), counts
+
+    def _of_pieces(self, keys: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Plain Latin text is cut into pre-tokens here and goes to the library's model, other text through all of the library."""
+        plain: list[list[str]] = []
+        other: dict[int, list[int]] = {}
+        for i, piece in enumerate(map(piece_of, keys.to_pylist())):
+            if _SAFE(piece) and not self.special(piece):
+                plain.append(_TOKENS(piece))
+            else:
+                plain.append([])
+                other[i] = self.tokenizer.encode(piece, add_special_tokens=False).ids
+        flat, sizes = self.words.ids(pa.array(chain.from_iterable(plain), pa.string()))
+        ends = np.cumsum(np.fromiter(map(len, plain), np.int64, len(plain)))
+        counts = np.diff(np.concatenate([[0], np.cumsum(sizes)])[ends], prepend=0)
+        if other:
+            at = np.cumsum(counts)[list(other)]
+            flat = np.insert(flat, np.repeat(at, list(map(len, other.values()))), np.fromiter(chain.from_iterable(other.values()), np.uint32))
+            counts[list(other)] = list(map(len, other.values()))
+        return flat, counts
+
+    def encode(self, texts: pa.StringArray | list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids one after another, and how many each text has. Only pieces and pre-tokens that are new are Python's work."""
+        flat, pieces = keys(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
+        ids, sizes = self.pieces.ids(flat)
+        return ids, np.diff(np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(pieces)], prepend=0)
 
 
 @functools.lru_cache(1)
@@ -166,39 +272,91 @@ def ids_of(planes: list[bytes], n: int, width: int, kind: str) -> np.ndarray:
 _STORE = "part int, chunk int, first long, n int, width int, kind string, planes array<binary>, docs array<struct<ord: long, doc_id: long, n: int>>"
 
 
-def encode(docs: DataFrame, tokenizer: str, end: int | None = END, bounds: np.ndarray | None = None) -> DataFrame:
-    """doc_id, `ids`, little-endian unsigned integers of `width` bytes, 2 where all ids fit, else 4, and `to`, the range of ids
-    between the bounds that the doc_id falls in."""
-    bounds = np.zeros(0, np.int64) if bounds is None else bounds
+_FIRST = np.iinfo(np.int64).min
+
+
+class Bounds:
+    """Upper bounds (doc_id, hash of the text) of the store's parts, in ascending order; the last part has none.
+
+    They are quantiles of all rows. An id that is found more than once among them holds more than a part's rows: its bounds come
+    from quantiles of its texts' hashes. A text that is found more than once even so is dealt over its parts row by row: its
+    rows are equal, so their order makes no difference.
+    """
+
+    def __init__(self, ids: np.ndarray, hashes: np.ndarray):
+        self.ids, self.hashes = ids, hashes
+
+    @classmethod
+    def of(cls, rows: DataFrame, parts: int) -> Bounds:
+        cut = lambda col, n: F.percentile_approx(col, [i / n for i in range(1, n)], 100 * n)
+        found = rows.select(cut("__id", parts).alias("q")).first()["q"] if parts > 1 else []
+        ids, times = np.unique(np.array(found or [], np.int64), return_counts=True)
+        bounds = [(int(i), np.iinfo(np.int64).max) for i, n in zip(ids, times, strict=True) if n == 1]
+        hot = {int(i): int(n) for i, n in zip(ids, times, strict=True) if n > 1}
+        if hot:  # at most half as many ids as there are parts
+            most = max(hot.values())
+            for row in rows.where(F.col("__id").isin(list(hot))).groupBy("__id").agg(cut("__h", 4 * most).alias("q")).collect():
+                n = hot[row["__id"]]
+                bounds += [(row["__id"], np.iinfo(np.int64).max), *((row["__id"], row["q"][len(row["q"]) * k // n]) for k in range(1, n))]
+        bounds.sort()
+        return cls(np.array([b[0] for b in bounds], np.int64), np.array([b[1] for b in bounds], np.int64))
+
+    def __len__(self) -> int:
+        return len(self.ids)
+
+    def part(self, ids: np.ndarray, hashes: np.ndarray, salt: np.ndarray) -> np.ndarray:
+        """The part of each row."""
+        if not len(self):
+            return np.zeros(len(ids), np.int32)
+        pair = np.dtype([("i", "<i8"), ("h", "<i8")])
+        bounds, rows = np.empty(len(self), pair), np.empty(len(ids), pair)
+        bounds["i"], bounds["h"], rows["i"], rows["h"] = self.ids, self.hashes, ids, hashes
+        # the rank of each pair among all of them orders pairs by plain numbers
+        _, rank = np.unique(np.concatenate([bounds, rows]), return_inverse=True)
+        own, at = rank[len(self) :], rank[: len(self)]
+        lo, hi = np.searchsorted(at, own, "left"), np.searchsorted(at, own, "right")
+        return (lo + salt % np.maximum(hi - lo, 1)).astype(np.int32)
+
+
+def encode(docs: DataFrame, tokenizer: str, end: int | None = END) -> DataFrame:
+    """doc_id and `ids`, little-endian unsigned integers of `width` bytes, 2 where all ids fit, else 4."""
+    return _encode(_rows(docs), tokenizer, end, Bounds(np.zeros(0, np.int64), np.zeros(0, np.int64))).select("doc_id", "ids", "width")
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    """doc_id and text, and what orders and deals the rows: the id with null as the least number, a hash of the text, the row's number."""
+    id_ = F.col("doc_id").cast("long")
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(id_.alias("doc_id"), text.alias("text"), F.coalesce(id_, F.lit(int(_FIRST))).alias("__id"), F.xxhash64(text).alias("__h"), F.monotonically_increasing_id().alias("__salt"))
+
 
+def _encode(rows: DataFrame, tokenizer: str, end: int | None, bounds: Bounds) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(tokenizer)
         kind = "<u2" if encoder.vocab <= 1 << 16 and (end or 0) < 1 << 16 else "<u4"
+        width = np.dtype(kind).itemsize
         for batch in batches:
             for part in common.blocks(batch, _BATCH_BYTES):
-                ids, counts = encoder.encode([x or "" for x in part.column(1).to_pylist()])
+                ids, counts = encoder.encode(part.column(1))
                 stops = np.cumsum(counts)
                 if end is not None:
                     ids = np.insert(ids, stops, end)
                     stops = stops + np.arange(1, len(stops) + 1)
-                width = np.dtype(kind).itemsize
                 data = ids.astype(kind).tobytes()
                 offsets = np.concatenate([[0], stops * width]).astype(np.int32)
                 blob = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data)])
-                to = np.searchsorted(bounds, part.column(0).cast(pa.int64()).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), "left")
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), blob, pa.array(np.full(len(counts), width, np.int32)), pa.array(to.astype(np.int32))], names=["doc_id", "ids", "width", "to"])
+                to = bounds.part(*(part.column(c).to_numpy() for c in (2, 3, 4)))
+                yield pa.RecordBatch.from_arrays([part.column(0), blob, pa.array(np.full(len(counts), width, np.int32)), part.column(3), pa.array(to)], names=["doc_id", "ids", "width", "h", "to"])
         ids = blob = data = None
         common.give_back()
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, ids binary, width int, to int")
+    return rows.mapInArrow(run, "doc_id long, ids binary, width int, h long, to int")
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end: int | None = END, block: int = BLOCK, kind: str = "byte", level: int = LEVEL) -> None:
     """Write the store of docs (doc_id, text) to path."""
-    spark = docs.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    found = docs.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 100 * n).alias("q")).first()["q"] or []
-    bounds = np.array(sorted(set(found)), np.int64)
+    rows = _rows(docs)
+    bounds = Bounds.of(rows, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, chunk, first, ord_ = TaskContext.get().partitionId(), 0, 0, 0
@@ -239,7 +397,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int | None = END, blo
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema)
 
-    dealt = encode(docs, tokenizer, end, bounds).repartitionById(len(bounds) + 1, F.col("to")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
+    dealt = _encode(rows, tokenizer, end, bounds).repartitionById(len(bounds) + 1, F.col("to")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h", "ids")
     # planes are compressed already
     dealt.select("doc_id", "ids", "width").mapInArrow(pack, _STORE).write.option("compression", "none").parquet(path)
 
