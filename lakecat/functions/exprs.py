@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterable
 
@@ -97,6 +98,33 @@ def if_match(etag: Column, condition: Column) -> Column:
     return condition.isNull() | (condition == "*") & etag.isNotNull() | F.coalesce(condition == etag, F.lit(False))
 
 
+def if_none_match(etag: Column, condition: Column) -> Column:
+    """If-None-Match holds: no condition, * and no object, or another ETag."""
+    return condition.isNull() | F.when(condition == "*", etag.isNull()).otherwise(F.coalesce(condition != etag, F.lit(True)))
+
+
+def byte_ranges(header: Column, size: Column) -> Column:
+    """The satisfiable ranges of a Range header with several ones, in the order asked; null where the header is no such list."""
+    each = F.transform(F.split(F.regexp_extract(header, r"^bytes=(.*)$", 1), ","), lambda r: byte_range(F.concat(F.lit("bytes="), F.trim(r)), size))
+    return F.when(header.rlike(r"^bytes=\s*(\d+-\d*|-\d+)\s*(,\s*(\d+-\d*|-\d+)\s*)*$"), F.filter(each, lambda r: r.isNotNull()))
+
+
+def http_date(at: Column) -> Column:
+    return F.date_format(at, "EEE, dd MMM yyyy HH:mm:ss 'GMT'")
+
+
+def rfc3339(at: Column) -> Column:
+    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def forwarded_client(remote: Column, forwarded: Column, trusted: list[str]) -> Column:
+    """The client's address: the last X-Forwarded-For entry that is no trusted proxy, where the peer is one; else the peer's."""
+    is_trusted = lambda ip: F.coalesce(functools.reduce(lambda a, b: a | b, [in_cidr(ip, F.lit(c)) for c in trusted], F.lit(False)), F.lit(False))
+    hops = F.transform(F.filter(F.split(F.coalesce(forwarded, F.lit("")), ","), lambda x: F.trim(x) != ""), lambda x: F.trim(x))
+    foreign = F.filter(hops, lambda ip: ~is_trusted(ip))
+    return F.when(is_trusted(remote), F.coalesce(F.try_element_at(foreign, F.lit(-1)), F.get(hops, F.lit(0)), remote)).otherwise(remote)
+
+
 def copy_allowed(etag: Column, modified: Column, match: Column, none_match: Column, modified_since: Column, unmodified_since: Column) -> Column:
     """Copy-source conditions; times count in whole seconds, and a matching ETag settles If-Unmodified-Since."""
     at = F.date_trunc("SECOND", modified)

@@ -1,7 +1,9 @@
-"""Audit log: statistics, hash chain, Merkle roots, durations.
+"""Audit log: statistics, hash chain, groundings, Merkle roots, durations, text and binary codecs.
 
-The chain is checked without ordering the whole log in one task: rows get their place from counts per time range, blocks
-of `block` rows are worked on by themselves, and only the blocks' borders are compared across.
+A log has a place `n` for each entry, from 0 on. Every entry holds the hash of the entry before it; its own hash covers that and its
+fields. The first entry is a GENESIS, which names the digest of a seed; a GROUNDING after each `block` LOG entries holds the
+Merkle root over their hashes. Verification works on blocks of places by themselves and compares their borders by a join, so no
+task holds the whole log.
 """
 
 from __future__ import annotations
@@ -10,10 +12,14 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakecat.operators import order
+
 BLOCK = 1000
+#: Entry types; fixed values of the log format.
+GENESIS, LOG, GROUNDING = "GENESIS", "LOG", "GROUNDING"
 
 
 def stats(audit: DataFrame) -> DataFrame:
@@ -27,29 +33,81 @@ def by_operation_actor(audit: DataFrame) -> DataFrame:
     return audit.groupBy("operation", "actor").agg(F.count("*").alias("entries"), F.count_if(failed).alias("errors"))
 
 
-def numbered(audit: DataFrame) -> DataFrame:
-    """Rows with `n`, their place from 0 on in the order of (ts, id): days are ordered by counts, rows within a day by a window."""
-    day = audit.withColumn("day", F.date_trunc("DAY", "ts"))
-    sizes = day.groupBy("day").agg(F.count("*").alias("c"))
-    # one row per day of the log
-    before = sizes.select("day", F.coalesce(F.sum("c").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    own = F.row_number().over(Window.partitionBy("day").orderBy("ts", "id")) - 1
-    return day.withColumn("own", own).join(before, "day").withColumn("n", F.col("own") + F.col("before")).drop("own", "before", "day")
-
-
-def chained(audit: DataFrame, block: int = BLOCK) -> DataFrame:
-    """A log with hash and previous_hash, chained within each block of rows; used to make logs, a writer chains as it appends."""
-    rows = numbered(audit).withColumn("block", F.floor(F.col("n") / block))
-    own = F.sha2(F.concat_ws("|", F.col("id"), F.col("operation"), F.col("actor"), F.col("outcome")), 256)
-    hashed = rows.withColumn("hash", own)
-    return hashed.withColumn("previous_hash", F.lag("hash").over(Window.partitionBy("block").orderBy("n")))
+def by_type(audit: DataFrame, kind: str = "entry_type") -> DataFrame:
+    return audit.groupBy(kind).agg(F.count("*").alias("entries"))
 
 
-def breaks(log: DataFrame) -> DataFrame:
-    """Per block: rows, and how many do not name the hash of the row before."""
-    w = Window.partitionBy("block").orderBy("n")
-    seen = log.withColumn("before", F.lag("hash").over(w))
-    return seen.groupBy("block").agg(F.count("*").alias("entries"), F.count_if(~F.col("previous_hash").eqNullSafe(F.col("before"))).alias("breaks"), F.min("n").alias("first_n"), F.max("n").alias("last_n"))
+def numbered(audit: DataFrame) -> DataFrame:
+    """Rows with `n`, their place from 0 on in the order of (ts, id)."""
+    return order.running(audit, ["ts", "id"], F.lit(1).cast("long"), "n").withColumn("n", F.col("n") - 1)
+
+
+def content_hash(*fields: str | Column) -> Column:
+    """sha512 over the fields, each behind its length in bytes, so that no two lists of fields read the same; in hex."""
+    text = [F.coalesce((F.col(f) if isinstance(f, str) else f).cast("string"), F.lit("")) for f in fields]
+    return F.sha2(F.concat(*[x for t in text for x in (F.octet_length(t).cast("string"), F.lit(":"), t)]), 512)
+
+
+def grounded(logs: DataFrame, hash_: Column, block: int = BLOCK) -> DataFrame:
+    """A log made of numbered LOG rows (n from 0): a GENESIS in front, a GROUNDING behind each whole block, places anew.
+
+    Columns: n, entry_type, hash, merkle_root (of groundings) and those of the rows.
+    """
+    rows = logs.withColumns({"block": F.floor(F.col("n") / block), "hash": hash_})
+    logged = rows.withColumn("n", F.col("n") + 1 + F.col("block")).withColumns({"entry_type": F.lit(LOG), "merkle_root": F.lit(None).cast("string")})
+    roots = merkle_roots(rows).where(F.col("entries") == block)
+    ground = roots.select(((F.col("block") + 1) * (block + 1)).alias("n"), "block", F.lit(GROUNDING).alias("entry_type"), "merkle_root").withColumn("hash", content_hash("entry_type", "merkle_root"))
+    spark = logs.sparkSession
+    first = spark.range(1).select(F.lit(0).cast("long").alias("n"), F.lit(GENESIS).alias("entry_type")).withColumn("hash", content_hash("entry_type"))
+    return logged.drop("block").unionByName(ground.drop("block"), allowMissingColumns=True).unionByName(first, allowMissingColumns=True)
+
+
+def linked(log: DataFrame, seed: str, block: int = BLOCK) -> DataFrame:
+    """The log with previous_hash: the hash at the place before; the first entry names the digest of the seed."""
+    before = _before(log, block, "hash")
+    return before.withColumn("previous_hash", F.when(F.col("n") == 0, F.sha2(F.lit(seed), 512)).otherwise(F.col("__before"))).drop("__before")
+
+
+def _before(log: DataFrame, block: int, column: str) -> DataFrame:
+    """The log with the column's value at the place before, `__before`: a window in each block of places, a join over their borders."""
+    cut = log.withColumn("__block", F.floor(F.col("n") / block))
+    w = Window.partitionBy("__block").orderBy("n")
+    inner = cut.withColumns({"__lag": F.lag(column).over(w), "__first": F.row_number().over(w) == 1})
+    last = cut.groupBy("__block").agg(F.max_by(F.struct("n", column), "n").alias("l"))
+    border = last.select((F.col("__block") + 1).alias("__block"), F.col("l.n").alias("__n"), F.col(f"l.{column}").alias("__last"))
+    met = inner.join(border, "__block", "left")
+    return met.withColumn("__before", F.when(~F.col("__first"), F.col("__lag")).when(F.col("__n") == F.col("n") - 1, F.col("__last"))).drop("__block", "__lag", "__first", "__n", "__last")
+
+
+def verified(log: DataFrame, hash_: Column, seed: str, block: int = BLOCK) -> DataFrame:
+    """n, entry_type and problem of every entry that does not hold; no row for a sound log. Of several problems an entry shows the first:
+
+    hash (the stored hash is not that of the fields), genesis (the first entry is no GENESIS or names another seed), chain (it does not
+    name the hash of the entry before), ungrounded (more than `block` LOG entries without GROUNDING), interval (a GROUNDING after
+    another number of LOG entries), root (its Merkle root is not that of the entries).
+
+    A missing place is a break of the chain. LOG entries belong to the next GROUNDING: their number since the last one comes from
+    running counts over ranges of n.
+    """
+    counted = order.running(_before(log, block, "hash"), ["n"], (F.col("entry_type") == GROUNDING).cast("long"), "groundings")
+    span = F.col("groundings") - (F.col("entry_type") == GROUNDING).cast("long")
+    logs = counted.where(F.col("entry_type") == LOG).select(span.alias("span"), "n", "hash")
+    # which entry of its span a LOG entry is: spans are a block long, longer ones are cut into ranges as well
+    own = order.running(logs, ["n"], F.lit(1).cast("long"), "own", ["span"]).select("n", "own")
+    sizes = logs.groupBy("span").agg(F.count("*").alias("entries"))
+    whole = logs.join(sizes.where(F.col("entries") == block), "span").select(F.col("span").alias("block"), "n", "hash")
+    roots = merkle_roots(whole).select(F.col("block").alias("span"), F.col("merkle_root").alias("root"))
+    checked = counted.withColumn("span", span).join(own, "n", "left").join(sizes, "span", "left").join(roots, "span", "left")
+    ground, first = F.col("entry_type") == GROUNDING, F.col("n") == 0
+    problem = (
+        F.when(~F.col("hash").eqNullSafe(hash_), "hash")
+        .when(first & ((F.col("entry_type") != GENESIS) | ~F.col("previous_hash").eqNullSafe(F.sha2(F.lit(seed), 512))), "genesis")
+        .when(~first & ~F.col("previous_hash").eqNullSafe(F.col("__before")), "chain")
+        .when(F.col("own") > block, "ungrounded")
+        .when(ground & (F.coalesce("entries", F.lit(0)) != block), "interval")
+        .when(ground & ~F.col("merkle_root").eqNullSafe(F.col("root")), "root")
+    )
+    return checked.select("n", "entry_type", problem.alias("problem")).where("problem IS NOT NULL")
 
 
 def merkle_root(hashes: list[bytes]) -> bytes:
@@ -85,14 +143,36 @@ def phase_durations(audit: DataFrame, start: str, complete: str) -> DataFrame:
     return rows.where((F.col("operation") == complete) & F.col("begun").isNotNull()).select("id", "user_id", seconds.alias("duration_us"))
 
 
-_LINE = r"^(\S+ \S+) \[(\w+)\] (\S+) actor=(\S+) outcome=(\S+)$"
+_LINE = r"^(\S+ \S+) \[(\w+)\] (\S+) actor=(\S+) outcome=(\S+) id=(\S+) error=(.*)$"
 
 
 def to_text(audit: DataFrame) -> DataFrame:
     """One line of text per entry."""
-    return audit.select(F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit(" [log] "), "operation", F.lit(" actor="), "actor", F.lit(" outcome="), "outcome").alias("value"))
+    fields = [F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit(" [log] "), "operation", F.lit(" actor="), "actor", F.lit(" outcome="), "outcome", F.lit(" id="), F.col("id").cast("string"), F.lit(" error="), F.coalesce("error", F.lit(""))]
+    return audit.select(F.concat(*fields).alias("value"))
 
 
 def from_text(lines: DataFrame) -> DataFrame:
     part = lambda i: F.regexp_extract("value", _LINE, i)
-    return lines.select(part(1).cast("timestamp_ntz").alias("ts"), part(2).alias("entry_type"), part(3).alias("operation"), part(4).alias("actor"), part(5).alias("outcome"))
+    return lines.select(part(1).cast("timestamp_ntz").alias("ts"), part(2).alias("entry_type"), part(3).alias("operation"), part(4).alias("actor"), part(5).alias("outcome"), part(6).cast("long").alias("id"), part(7).alias("error"))
+
+
+def _be32(n: Column) -> Column:
+    return F.unhex(F.lpad(F.hex(n), 8, "0"))
+
+
+def to_binary(rows: DataFrame, fields: list[str]) -> DataFrame:
+    """`entry`: the fields' UTF-8, each behind its length as a big-endian unsigned 32-bit integer; null counts as empty."""
+    data = [F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields]
+    return rows.withColumn("entry", F.concat(*[x for d in data for x in (_be32(F.octet_length(d)), d.cast("binary"))]))
+
+
+def from_binary(rows: DataFrame, fields: list[str]) -> DataFrame:
+    """The fields of `entry`, as strings."""
+    at: Column = F.lit(1)
+    out = {}
+    for f in fields:
+        size = F.conv(F.hex(F.substring("entry", at, 4)), 16, 10).cast("int")
+        out[f] = F.decode(F.substring("entry", at + 4, size), "UTF-8")
+        at = at + 4 + size
+    return rows.select(*[c.alias(f) for f, c in out.items()])

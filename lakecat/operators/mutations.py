@@ -34,6 +34,46 @@ def shared_references(parts: DataFrame, copied: DataFrame) -> DataFrame:
     return parts.join(copied.select(F.col("shares").alias("object_id")), "object_id").groupBy("part_id").agg(F.count("*").alias("delta"))
 
 
+def create_buckets(buckets: DataFrame, asked: DataFrame) -> DataFrame:
+    """Outcome per name asked for: Created, BucketAlreadyExists or InvalidBucketName; a name asked for twice is created once."""
+    held = buckets.select("bucket", F.lit(True).alias("held")).distinct()
+    met = asked.select("bucket").distinct().join(held, "bucket", "left")
+    outcome = F.when(~exprs.valid_bucket_name(F.col("bucket")), "InvalidBucketName").when(F.col("held"), "BucketAlreadyExists").otherwise("Created")
+    return met.select("bucket", outcome.alias("outcome"))
+
+
+def delete_buckets(buckets: DataFrame, objects: DataFrame, asked: DataFrame) -> DataFrame:
+    """Outcome per name asked for: Deleted, NoSuchBucket or BucketNotEmpty."""
+    held = buckets.select("bucket", F.lit(True).alias("held")).distinct()
+    full = objects.select("bucket", F.lit(True).alias("full")).distinct()
+    met = asked.select("bucket").distinct().join(held, "bucket", "left").join(full, "bucket", "left")
+    return met.select("bucket", F.when(F.col("held").isNull(), "NoSuchBucket").when(F.col("full"), "BucketNotEmpty").otherwise("Deleted").alias("outcome"))
+
+
+def configure(configs: DataFrame, changes: DataFrame) -> DataFrame:
+    """Bucket configurations (bucket, kind, document) after changes (bucket, kind, seq, document; a null document deletes): the last change
+    of each kind stands. Kinds are versioning, website, cors, lifecycle and notification."""
+    last = changes.groupBy("bucket", "kind").agg(F.max(F.struct("seq", "document")).alias("c")).select("bucket", "kind", "c.document")
+    kept = configs.join(last, ["bucket", "kind"], "left_anti").select("bucket", "kind", "document")
+    return kept.unionByName(last.where("document IS NOT NULL"))
+
+
+def upload_deltas(uploads: DataFrame, parts: DataFrame, commands: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Uploads (upload_id, bucket, key) and parts (upload_id, part_number, etag, size) after commands (seq, op, upload_id, bucket, key, part_number, etag, size).
+
+    CREATE opens an upload, PART stores or replaces a part, ABORT and COMPLETE close the upload and drop its parts; parts sent to an
+    upload that is not open, or before it was, are refused, i.e. left out.
+    """
+    opened = commands.where("op = 'CREATE'").groupBy("upload_id").agg(F.min(F.struct("seq", "bucket", "key")).alias("o")).select("upload_id", F.col("o.seq").alias("since"), "o.bucket", "o.key")
+    begun = uploads.select("upload_id", F.lit(-1).cast("long").alias("since"), "bucket", "key").unionByName(opened.join(uploads, "upload_id", "left_anti").select("upload_id", F.col("since").cast("long").alias("since"), "bucket", "key"))
+    closed = commands.where("op IN ('ABORT', 'COMPLETE')").select("upload_id").distinct()
+    open_ = begun.join(closed, "upload_id", "left_anti")
+    sent = parts.select("upload_id", "part_number", F.lit(-1).cast("long").alias("seq"), "etag", "size").unionByName(commands.where("op = 'PART'").select("upload_id", "part_number", F.col("seq").cast("long").alias("seq"), "etag", "size"))
+    fit = sent.join(open_.select("upload_id", "since"), "upload_id").where("seq >= since")
+    last = fit.groupBy("upload_id", "part_number").agg(F.max(F.struct("seq", "etag", "size")).alias("p")).select("upload_id", "part_number", "p.etag", "p.size")
+    return open_.select("upload_id", "bucket", "key"), last
+
+
 def bulk_delete(objects: DataFrame, requests: DataFrame) -> DataFrame:
     """Outcome of each request (bucket, key, if_match): a missing key counts as deleted, a wrong ETag is refused."""
     held = objects.select("bucket", "key", "etag")

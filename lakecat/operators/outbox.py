@@ -25,6 +25,44 @@ def claim_batch(outbox: DataFrame, now: Column, batch: int) -> DataFrame:
     return outbox.where(F.col("next_attempt_at") <= now).orderBy("next_attempt_at", "id").limit(batch)
 
 
+def claim_next(outbox: DataFrame, now: Column, batch: int, max_attempts: int) -> DataFrame:
+    """As claim_batch, without entries that another worker holds a lease on (lease_until after now) and without dead letters."""
+    free = outbox.where((F.col("lease_until").isNull() | (F.col("lease_until") <= now)) & (F.col("attempts") < max_attempts))
+    return claim_batch(free, now, batch)
+
+
+def dispatched(batch: DataFrame, delivered: DataFrame, now: Column, least: int, most: int, max_attempts: int) -> DataFrame:
+    """What becomes of claimed entries once publishing was tried (delivered: ids that went out): DELETE, RETRY with its next attempt, or
+    DEAD after the last attempt. A claim counts as an attempt."""
+    met = batch.join(delivered.select("id", F.lit(True).alias("ok")), "id", "left").withColumn("attempts", F.col("attempts") + 1)
+    dead = F.col("attempts") >= max_attempts
+    outcome = F.when(F.col("ok"), "DELETE").when(dead, "DEAD").otherwise("RETRY")
+    at = now + F.make_dt_interval(secs=exprs.backoff_seconds(F.col("attempts"), least, most))
+    return met.select("id", "attempts", outcome.alias("outcome"), F.when(outcome == "RETRY", at).alias("next_attempt_at"))
+
+
+def entries_with(entries: DataFrame, tags: DataFrame, metadata: DataFrame) -> DataFrame:
+    """Outbox entries with their tags and user metadata (id, key, value) as maps, null where there are none."""
+    from lakecat.operators import listing
+
+    return entries.join(listing.maps(tags, "id", "tag_set"), "id", "left").join(listing.maps(metadata, "id", "user_metadata"), "id", "left")
+
+
+def barriers(outbox: DataFrame, reads: DataFrame) -> DataFrame:
+    """The last entry that each read (read_id, scope: global, bucket or key; bucket; key) waits for, null where it waits for none.
+
+    Entries with an empty bucket concern everything, those with an empty key their whole bucket.
+    """
+    ends = outbox.groupBy("bucket", "key").agg(F.max("id").alias("last_id"))
+    everything = ends.agg(F.max("last_id").alias("all_last"), F.max(F.when(F.col("bucket") == "", F.col("last_id"))).alias("wide_last"))
+    in_bucket = ends.where("bucket <> ''").groupBy("bucket").agg(F.max("last_id").alias("bucket_last"), F.max(F.when(F.col("key") == "", F.col("last_id"))).alias("bucket_wide"))
+    own = ends.where("bucket <> '' AND key <> ''").withColumnRenamed("last_id", "key_last")
+    # one row
+    met = reads.join(in_bucket, "bucket", "left").join(own, ["bucket", "key"], "left").join(F.broadcast(everything))
+    last = F.when(F.col("scope") == "global", F.col("all_last")).when(F.col("scope") == "bucket", F.greatest("bucket_last", "wide_last")).otherwise(F.greatest("key_last", "bucket_wide", "wide_last"))
+    return met.select("read_id", "scope", last.alias("waits_for"))
+
+
 def scope_heads(outbox: DataFrame) -> DataFrame:
     """First and last entry that a reader of each (bucket, key) waits for: the key's own and the bucket-wide ones (key '')."""
     own = outbox.groupBy("bucket", "key").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"))

@@ -2,9 +2,45 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakecat.functions import exprs
+
+
+#: Name of the store that holds what no other store is named for.
+DEFAULT = "default"
+
+
+def blob_ids(chunks: DataFrame) -> DataFrame:
+    """Distinct ids of stored blobs, of their chunks."""
+    return chunks.select("part_id").distinct()
+
+
+def named_stores(stores: dict[str, DataFrame]) -> DataFrame:
+    """part_id and `store` of the parts of all named stores."""
+    frames = [f.select("part_id", F.lit(name).alias("store")) for name, f in sorted(stores.items())]
+    return functools.reduce(DataFrame.unionByName, frames)
+
+
+def stores_for(rows: DataFrame, classes: dict[str, str], known: list[str]) -> DataFrame:
+    """rows with `store`: by the recorded store name if there is one, else by the storage class, else the default one; and whether it is
+    `known`. The configuration is a map in the expression, no join."""
+    for name in classes.values():
+        if name not in known:
+            raise ValueError(f"storage class maps to unknown store {name}")
+    by_class = F.create_map(*[F.lit(x) for kv in sorted(classes.items()) for x in kv]).cast("map<string,string>")
+    store = F.coalesce("store_name", F.element_at(by_class, exprs.storage_class(F.col("storage_class"))), F.lit(DEFAULT))
+    return rows.withColumn("store", store).withColumn("known", F.col("store").isin(DEFAULT, *known))
+
+
+def sorted_refs(deltas: DataFrame) -> DataFrame:
+    """Summed changes per object as one array of (part_id, delta) in the order of part ids, so that writers lock in one order."""
+    sums = deltas.groupBy("object_id", "part_id").agg(F.sum("delta").alias("delta"))
+    return sums.groupBy("object_id").agg(F.sort_array(F.collect_list(F.struct("part_id", "delta"))).alias("refs"))
+
 
 def ref_counts(parts: DataFrame) -> DataFrame:
     return parts.groupBy("part_id").agg(F.count("*").alias("refs"))
@@ -52,7 +88,10 @@ def prune_index(index: DataFrame, live: DataFrame) -> DataFrame:
     return index.join(live.select("part_id"), "part_id", "left_anti")
 
 
-def collect_garbage(parts: DataFrame, registry: DataFrame, stored: DataFrame) -> dict[str, DataFrame]:
-    """The steps of a collection: registry corrections, then what is condemned under the corrected registry."""
+def collect_garbage(parts: DataFrame, registry: DataFrame, stored: DataFrame, index: DataFrame | None = None, created: Column | None = None, cutoff: Column | None = None) -> dict[str, DataFrame]:
+    """The steps of a collection: registry corrections, what is condemned under the corrected registry (stored before the cutoff), index rows
+    whose part is condemned, and the parts to delete."""
     fixed = ref_counts(parts).select("part_id", F.col("refs").alias("ref_count"))
-    return {"corrections": reconcile(parts, registry), "condemned": orphans(stored, parts, fixed)}
+    condemned = orphans(stored, parts, fixed, created, cutoff)
+    steps = {"corrections": reconcile(parts, registry), "condemned": condemned, "deletes": condemned.select("part_id").distinct()}
+    return steps if index is None else steps | {"pruned": index.join(condemned.select("part_id"), "part_id", "left_semi")}

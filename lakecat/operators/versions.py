@@ -48,6 +48,19 @@ def fold(commands: DataFrame, versioning: str) -> DataFrame:
     return state.where("NOT is_delete_marker") if versioning == "disabled" else state
 
 
+def fold_states(commands: DataFrame) -> DataFrame:
+    """As fold, where each command carries the bucket's `versioning` of its time ("enabled", else it writes the null version).
+
+    Versions written while versioning was enabled stay; the last of the other commands is the null version, as an object or a marker.
+    The latest row is the one of the last command.
+    """
+    named = F.col("versioning") == "enabled"
+    last_null = F.max(F.when(~named, F.col("id"))).over(Window.partitionBy(*KEY))
+    newest = F.max("id").over(Window.partitionBy(*KEY))
+    kept = commands.withColumns({"__null": last_null, "__newest": newest}).where(named | (F.col("id") == F.col("__null")))
+    return kept.select(*KEY, F.when(named, F.col("id").cast("string")).otherwise("null").alias("version_id"), (F.col("op") == "DELETE").alias("is_delete_marker"), "size", (F.col("id") == F.col("__newest")).alias("is_latest"))
+
+
 def merge_delta(base: DataFrame, delta: DataFrame, on: list[str], deleted: str = "deleted") -> DataFrame:
     """base with the rows of delta put in place of those with equal keys; rows marked deleted go."""
     kept = base.join(delta.select(*on), on, "left_anti")

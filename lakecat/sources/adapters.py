@@ -52,8 +52,8 @@ def objects_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def versions(spark: SparkSession, sf_dir: str, daily: bool = False) -> DataFrame:
-    """Object versions from events; daily=True gives each user a key for each day."""
+def versions(spark: SparkSession, sf_dir: str, daily: bool = False, tagged: bool = False) -> DataFrame:
+    """Object versions from events; daily=True gives each user a key for each day, tagged=True adds tags and storage class."""
     key = F.concat(F.lit("u/"), F.col("user_id"))
     if daily:
         key = F.concat_ws("/", key, F.date_format("ts", "yyyy-MM-dd"))
@@ -64,6 +64,7 @@ def versions(spark: SparkSession, sf_dir: str, daily: bool = False) -> DataFrame
         F.col("ts").alias("last_modified"),
         (F.col("event_type") == "error").alias("is_delete_marker"),
         F.floor(F.col("value") * 100).cast("long").alias("size"),
+        *([F.create_map(F.lit("kind"), F.col("event_type")).alias("tags"), F.when(F.col("event_id") % 4 == 0, "GLACIER").alias("storage_class")] if tagged else []),
     )
 
 
@@ -79,6 +80,12 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def part_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the parts of each object add up to. Their sequence numbers count from 1 on, so the last one is their number."""
+    count = F.count("*")
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("object_id")).agg(count.alias("n_parts"), F.sum(F.col("l_quantity").cast("long")).alias("parts_size"), count.alias("last_part"))
+
+
 def part_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part_id"), F.col("p_size").cast("long").alias("ref_count"))
 

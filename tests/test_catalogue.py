@@ -31,4 +31,4 @@ def test_query(spark, con, name):
     assert sorted(got.column_names) == sorted(names)
     rows = sorted(repr(r) for r in zip(*(got.column(n).to_pylist() for n in names), strict=True))
     assert rows == sorted(repr(tuple(r)) for r in expected)
-    assert rows
+    assert rows, name

@@ -58,7 +58,7 @@ def test_expiry_rounds_to_midnight(spark, moment, gone):
 
 def test_expiry_by_size_and_tag(spark):
     rows = objects(spark, [("big-dev", 500, "2026-01-01", {"env": "dev"}), ("big-prod", 500, "2026-01-01", {"env": "prod"}), ("small-dev", 5, "2026-01-01", {"env": "dev"})])
-    found = lifecycle.expirations(rows, rule(spark, exp_days=3, tag_key="env", tag_value="dev", size_gt=100), now("2026-01-11"))
+    found = lifecycle.expirations(rows, rule(spark, exp_days=3, want_tags={"env": "dev"}, size_gt=100), now("2026-01-11"))
     assert [r.key for r in found.collect()] == ["big-dev"]
 
 
@@ -67,7 +67,7 @@ def test_most_advanced_transition_and_priority(spark):
     moves = rule(spark, transitions=[(30, None, "STANDARD_IA"), (90, None, "GLACIER")])
     assert [r.to_class for r in lifecycle.transitions(rows, moves, now("2026-04-12")).collect()] == ["GLACIER"]
     both = rule(spark, transitions=[(3, None, "GLACIER")], exp_days=5)
-    assert [r.action for r in lifecycle.plan(rows, both, now("2026-01-11")).collect()] == ["EXPIRE"]
+    assert [r.action for r in lifecycle.plan(rows, None, both, now("2026-01-11")).collect()] == ["EXPIRE"]
 
 
 def history(spark, rows):
@@ -149,12 +149,21 @@ def test_chunks_in_order(spark):
 def test_chain_and_merkle(spark):
     rows = [(i, T("2026-01-01") + dt.timedelta(hours=i), "op", "me", "success", "", 1) for i in range(60)]
     log = spark.createDataFrame(rows, "id long, ts timestamp_ntz, operation string, actor string, outcome string, error string, user_id long")
-    chained = audit.chained(log, block=25).cache()
-    assert sorted((r.block, r.entries, r.breaks) for r in audit.breaks(chained).collect()) == [(0, 25, 0), (1, 25, 0), (2, 10, 0)]
-    broken = chained.withColumn("previous_hash", F.when(F.col("n") == 30, "x").otherwise(F.col("previous_hash")))
-    assert sorted((r.block, r.breaks) for r in audit.breaks(broken).collect()) == [(0, 0), (1, 1), (2, 0)]
-    hashes = {b: [bytes.fromhex(r.hash) for r in chained.where(F.col("block") == b).orderBy("n").collect()] for b in range(3)}
-    assert {r.block: r.merkle_root for r in audit.merkle_roots(chained).collect()} == {b: audit.merkle_root(h).hex() for b, h in hashes.items()}
+    fields = audit.content_hash("id", "operation", "actor", "outcome")
+    kind = F.col("entry_type")
+    hash_ = F.when(kind == audit.GENESIS, audit.content_hash("entry_type")).when(kind == audit.GROUNDING, audit.content_hash("entry_type", "merkle_root")).otherwise(fields)
+    sound = audit.linked(audit.grounded(audit.numbered(log), fields, 25), "seed", 25).cache()
+    assert [r.entry_type for r in sound.orderBy("n").collect()] == ["GENESIS", *["LOG"] * 25, "GROUNDING", *["LOG"] * 25, "GROUNDING", *["LOG"] * 10]
+    problems = lambda x: sorted((r.n, r.problem) for r in audit.verified(x, hash_, "seed", 25).collect())
+    assert problems(sound) == []
+    change = lambda n, c, v: sound.withColumn(c, F.when(F.col("n") == n, F.lit(v)).otherwise(F.col(c)))
+    assert problems(change(30, "previous_hash", "x")) == [(30, "chain")]
+    assert problems(change(30, "actor", "you")) == [(30, "hash")]
+    assert problems(change(0, "previous_hash", "x")) == [(0, "genesis")]
+    assert problems(sound.where("n <> 40")) == [(41, "chain"), (52, "interval")]
+    assert problems(sound.where("n <> 26")) == [(27, "chain"), *((n, "ungrounded") for n in range(28, 52)), (52, "interval")]
+    hashes = [bytes.fromhex(r.hash) for r in sound.where("entry_type = 'LOG' AND n < 26").orderBy("n").collect()]
+    assert sound.where("n = 26").first().merkle_root == audit.merkle_root(hashes).hex()
     three = [b"a", b"b", b"c"]
     up = lambda x, y: hashlib.sha512(x + y).digest()
     assert audit.merkle_root(three) == up(up(b"a", b"b"), up(b"c", b"c"))
