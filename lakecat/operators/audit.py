@@ -83,29 +83,25 @@ def verified(log: DataFrame, hash_: Column, seed: str, block: int = BLOCK) -> Da
     """n, entry_type and problem of every entry that does not hold; no row for a sound log. Of several problems an entry shows the first:
 
     hash (the stored hash is not that of the fields), genesis (the first entry is no GENESIS or names another seed), chain (it does not
-    name the hash of the entry before), ungrounded (more than `block` LOG entries without GROUNDING), interval (a GROUNDING after
+    name the hash of the entry before), ungrounded (a LOG entry where a GROUNDING is due), interval (a GROUNDING elsewhere, or after
     another number of LOG entries), root (its Merkle root is not that of the entries).
 
-    A missing place is a break of the chain. LOG entries belong to the next GROUNDING: their number since the last one comes from
-    running counts over ranges of n.
+    A GROUNDING is due at each place that is a multiple of block + 1, so entries belong to a span by their place, and a missing place
+    is a break of the chain. Spans are checked by themselves.
     """
-    counted = order.running(_before(log, block, "hash"), ["n"], (F.col("entry_type") == GROUNDING).cast("long"), "groundings")
-    span = F.col("groundings") - (F.col("entry_type") == GROUNDING).cast("long")
-    logs = counted.where(F.col("entry_type") == LOG).select(span.alias("span"), "n", "hash")
-    # which entry of its span a LOG entry is: spans are a block long, longer ones are cut into ranges as well
-    own = order.running(logs, ["n"], F.lit(1).cast("long"), "own", ["span"]).select("n", "own")
-    sizes = logs.groupBy("span").agg(F.count("*").alias("entries"))
-    whole = logs.join(sizes.where(F.col("entries") == block), "span").select(F.col("span").alias("block"), "n", "hash")
-    roots = merkle_roots(whole).select(F.col("block").alias("span"), F.col("merkle_root").alias("root"))
-    checked = counted.withColumn("span", span).join(own, "n", "left").join(sizes, "span", "left").join(roots, "span", "left")
+    span = F.floor((F.col("n") - 1) / (block + 1))
     ground, first = F.col("entry_type") == GROUNDING, F.col("n") == 0
+    logs = log.where(F.col("entry_type") == LOG).select(span.alias("block"), "n", "hash")
+    roots = merkle_roots(logs).select(F.col("block").alias("__span"), "entries", F.col("merkle_root").alias("__root"))
+    checked = _before(log, block + 1, "hash").withColumn("__span", F.when(ground, span)).join(roots, "__span", "left")
+    due = F.col("n") % (block + 1) == 0
     problem = (
         F.when(~F.col("hash").eqNullSafe(hash_), "hash")
         .when(first & ((F.col("entry_type") != GENESIS) | ~F.col("previous_hash").eqNullSafe(F.sha2(F.lit(seed), 512))), "genesis")
         .when(~first & ~F.col("previous_hash").eqNullSafe(F.col("__before")), "chain")
-        .when(F.col("own") > block, "ungrounded")
-        .when(ground & (F.coalesce("entries", F.lit(0)) != block), "interval")
-        .when(ground & ~F.col("merkle_root").eqNullSafe(F.col("root")), "root")
+        .when(~first & due & ~ground, "ungrounded")
+        .when(ground & (~due | (F.coalesce("entries", F.lit(0)) != block)), "interval")
+        .when(ground & ~F.col("merkle_root").eqNullSafe(F.col("__root")), "root")
     )
     return checked.select("n", "entry_type", problem.alias("problem")).where("problem IS NOT NULL")
 
