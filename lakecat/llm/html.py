@@ -11,8 +11,9 @@ for the summary, and what the cascade of style sheets and style attributes gives
 descendant may be visible again) or content-visibility:hidden; `hidden` and closed dialogs are display:none unless a declaration shows them.
 Rules count for screens. Rules that cannot be decided here (combinators, attributes, window sizes) may show an element, never hide it.
 
-Defined results: null and empty pages give an empty text; malformed markup never fails: what is no tag is text; elements
-deeper than DEPTH count as children of the one at that depth, as in browsers; a cell is padded to at most PAD columns; repeated rows
+Defined results: null and empty pages give an empty text; malformed markup never fails: what is no tag is text, a tag whose quote is
+closed nowhere ends at its next `>`; a page of any length is read whole, in time that grows with its length, and is a task's unit of
+work; elements deeper than DEPTH count as children of the one at that depth, as in browsers; a cell is padded to at most PAD columns; repeated rows
 render alike; null ids pass through; an empty table gives an empty result; extra columns pass through `extracted`.
 """
 
@@ -62,7 +63,8 @@ IMPLIED = {
 }
 _SCOPE = frozenset("table td th caption button object template html".split())
 
-_TOKEN = re.compile(r"<!--(?:>|->|.*?(?:-->|--!>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)", re.S)
+#: A quote that is closed nowhere is a character like others: there is one of each kind at most, so the scan stays linear.
+_TOKEN = re.compile(r"<!--(?:>|->|.*?(?:-->|--!>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*'|[\"'])*+)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WHITE = " \t\n\f\r"
 _SPACE = re.compile(rf"[{_WHITE}]+")

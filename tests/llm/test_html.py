@@ -1,3 +1,7 @@
+import random
+import re
+import time
+
 import pytest
 
 from lakecat.llm.html import extracted, render
@@ -87,3 +91,51 @@ def test_visibility_follows_the_cascade(page):
 @pytest.mark.parametrize("page", ["<table><div>" * 300 + "x", "<table><tr><div>" * 300 + "x", "<table><tr><form><td>" * 200 + "x", "<style>" + "@media screen{" * 3000 + "p{display:none}</style>x", "<style>}}{;{p{</style>x"])
 def test_deep_tables_and_odd_sheets_keep_their_text(page):
     assert render(page).endswith("x")
+
+
+@pytest.mark.parametrize("odd", ["<a x", "<a x='", '<a "', "<a x\"y'", "<", "</", "<!--", "<p title='a\">", "<script>", "<b>", "</b>", "<table><tr>", "<li>", "&amp", "<style>.a{", "<td><p>"])
+def test_long_malformed_pages_take_linear_time(odd):
+    def took(n):
+        page = odd * (n // len(odd)) + "'"
+        began = time.process_time()
+        render(page)
+        return time.process_time() - began
+
+    took(1000)
+    assert took(1_000_000) < 8
+
+
+def test_against_trees_whose_text_is_known():
+    """Random pages that are written with the text that a reader sees, in order."""
+    rng = random.Random(4)
+    word = iter(f"w{i}" for i in range(10**9)).__next__
+
+    def made(depth):
+        """(source, words that are visible)"""
+        kind = rng.randrange(9 if depth < 5 else 2)
+        if kind == 0:
+            w = word()
+            return w + " ", [w]
+        if kind == 1:
+            return rng.choice([f"<!-- {word()} > -->", f"<script>if (a < b) '{word()}'</script>", f"<style>{word()}</style>", f"<template><p>{word()}</p></template>", "<br>", "<img alt='x'>", "\n\t "]), []
+        inner = [made(depth + 1) for _ in range(rng.randrange(4))]
+        source, seen = "".join(s for s, _ in inner), [w for _, ws in inner for w in ws]
+        if kind == 2:
+            return f"<div {rng.choice(['hidden', 'style=\"display: none\"', 'class=gone'])}>{source}</div>", []
+        if kind == 3:
+            return f"<ul><li>{source}</ul>", seen
+        if kind == 4:
+            return f"<div title='a > b'>{source}</div>", seen
+        if kind == 5:
+            return f"<section>{source}</section>", seen
+        if kind == 6:
+            return f"<table><tr><td>{source}</td></tr></table>", seen
+        if kind == 7:
+            return f"<em class=\"x\">{source}</em>", seen
+        return f"<blockquote>{source}", seen
+
+    for _ in range(150):
+        source, seen = made(0)
+        page = f"<html><head><title>{word()}</title><style>.gone {{ display: none }}</style></head><body>{source}</body></html>"
+        text = render(page)
+        assert re.findall(r"w\d+", text) == seen, page
