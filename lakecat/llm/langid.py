@@ -1,24 +1,24 @@
 """Language identification: a bidirectional gated recurrent network over bytes.
 
-Two gated recurrent layers read the bytes of a word, one from each side, with a space at either end; a softmax over both states
-labels every position. A document's probabilities are the mean over all positions of all its words. Trained in numpy by
-backpropagation through time with Adam on words of a bounded sample of documents.
+Two gated recurrent layers read a document's bytes, one from each side; a softmax over both states labels every position, and a
+document's probabilities are the mean over all its positions. Trained in numpy by backpropagation through time with Adam on
+windows of a bounded sample of documents.
 
-The network starts anew at each word, so a word's positions are the same wherever it stands: each distinct word of a block runs
-through the network once and counts as often as it occurs. Nothing of a text is left out. Words of more than `longest` bytes
-are cut into runs of that length.
+Documents are read in windows of `SPAN` positions with `CONTEXT` more bytes on either side, which bring the states up to date and are not
+counted there: each position is labelled once, with at least CONTEXT bytes read before it from each side (or all there are).
+So a long text is many windows that run side by side, not one long loop, and memory is bounded by a batch of windows.
 
 Defined results: null text, and text without a letter, is `und` with score 0; with no row to learn from everything is `und`;
-ties go to the first language in sorted order; repeated rows score alike; a null doc_id is never held out and never trains; an
-empty table gives an empty result; extra columns pass through `identified`.
+ties go to the first language in sorted order; repeated rows score alike; a null doc_id is never held out and never trains; texts of any
+length are read whole, those that Arrow brings in one batch in blocks of some megabytes; an empty table gives an empty result; extra
+columns pass through `identified`, but for held_out, lang_pred and score, which it replaces.
 """
 
 from __future__ import annotations
 
 import io
-import re
+import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,18 +27,11 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SAMPLE, HIDDEN, LONGEST, FOLDS = 2_000, 16, 48, 5
-_STEPS, _BATCH, _RATE, _SEED = 700, 256, 0.01, 11
-_BLOCK_BYTES, _CACHE = 4 << 20, 200_000
-_LETTER = re.compile(r"[^\W\d_]")
-
-
-def padded(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of ' word ' as a matrix (position, word), and the lengths; words must be sorted by length, longest first."""
-    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
-    width = int(sizes[0]) if len(sizes) else 0
-    data = np.frombuffer(b"".join([b" %b" % w.ljust(width - 1) for w in words]), np.uint8)
-    return np.ascontiguousarray(data.reshape(len(words), width).T), sizes
+#: At most SAMPLE documents are learned from, of each at most PIECES windows of PIECE bytes.
+SAMPLE, PIECES, PIECE, FOLDS = 2_000, 32, 64, 5
+HIDDEN, SPAN, CONTEXT = 8, 960, 32
+_STEPS, _BATCH, _RATE, _SEED = 400, 96, 0.03, 11
+_BLOCK_BYTES, _WINDOWS = 4 << 20, 2048
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -46,152 +39,204 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class Network:
-    """Parameters: for each direction X (256, 3H) of the input byte, U (H, 3H) of the state; V (2H, C) and c for the labels."""
+    """Parameters: for each direction X (3, 256, H) of the input byte and U (3, H, H) of the state, of update gate, reset gate and candidate; V (2, H, C)
+    and c for the labels."""
 
     def __init__(self, classes: int, hidden: int = HIDDEN, seed: int = _SEED):
         rng = np.random.default_rng(seed)
-        h = hidden
-        draw = lambda *shape: rng.normal(0, 1 / np.sqrt(h), shape).astype(np.float32)
-        self.p = {"Xf": draw(256, 3 * h), "Uf": draw(h, 3 * h), "Xb": draw(256, 3 * h), "Ub": draw(h, 3 * h), "V": draw(2 * h, classes), "c": np.zeros(classes, np.float32)}
-        self.hidden = h
-
-    def _run(self, x: np.ndarray, alive: np.ndarray, side: str, keep: list | None) -> np.ndarray:
-        """States after each position, for one direction. alive: how many words reach each position."""
-        h, steps = self.hidden, range(len(x)) if side == "f" else range(len(x) - 1, -1, -1)
+        draw = lambda *shape: rng.normal(0, 1 / np.sqrt(hidden), shape).astype(np.float32)
+        self.p = {"Xf": draw(3, 256, hidden), "Uf": draw(3, hidden, hidden), "Xb": draw(3, 256, hidden), "Ub": draw(3, hidden, hidden), "V": draw(2, hidden, classes), "c": np.zeros(classes, np.float32)}
+        self.hidden = hidden
+
+    def _steps(self, x: np.ndarray, alive: np.ndarray, side: str) -> Iterator[tuple[int, int, np.ndarray, tuple]]:
+        """(position, windows that reach it, states after it, what backpropagation needs), in the direction's order."""
         X, U = self.p["X" + side], self.p["U" + side]
-        out = np.zeros((*x.shape, h), np.float32)
-        state = np.zeros((x.shape[1], h), np.float32)
-        for t in steps:
-            n = alive[t]
-            s, gates = state[:n], X[x[t, :n]]
-            zr = _sigmoid(gates[:, : 2 * h] + s @ U[:, : 2 * h])
-            z, r = zr[:, :h], zr[:, h:]
+        state = np.zeros((x.shape[1], self.hidden), np.float32)
+        for t in range(len(x)) if side == "f" else range(len(x) - 1, -1, -1):
+            n = int(alive[t])
+            s, at = state[:n], x[t, :n]
+            z = _sigmoid(X[0].take(at, 0) + s @ U[0])
+            r = _sigmoid(X[1].take(at, 0) + s @ U[1])
             rs = r * s
-            new = np.tanh(gates[:, 2 * h :] + rs @ U[:, 2 * h :])
-            if keep is not None:
-                keep.append((t, n, s.copy(), z, r, rs, new))
+            new = np.tanh(X[2].take(at, 0) + rs @ U[2])
+            before = s.copy()
             s += z * (new - s)
-            out[t, :n] = s
-        return out
+            yield t, n, s, (before, z, r, rs, new)
 
-    def forward(self, x: np.ndarray, sizes: np.ndarray, keep: dict | None = None) -> np.ndarray:
-        """Label probabilities (position, word, label); rows past a word's end mean nothing."""
+    def positions(self, x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Label probabilities (position, window, label); rows past a window's end mean nothing. Windows are sorted by size, longest first."""
         alive = np.searchsorted(-sizes, -np.arange(len(x)), "left")
-        sides = {s: [] if keep is not None else None for s in "fb"}
-        both = np.concatenate([self._run(x, alive, s, sides[s]) for s in "fb"], axis=2)
-        logits = both @ self.p["V"] + self.p["c"]
-        logits -= logits.max(axis=2, keepdims=True)
-        np.exp(logits, out=logits)
-        logits /= logits.sum(axis=2, keepdims=True)
-        if keep is not None:
-            keep |= {"both": both, **sides}
-        return logits
+        logits = np.zeros((*x.shape, len(self.p["c"])), np.float32) + self.p["c"]
+        for i, side in enumerate("fb"):
+            for t, n, s, _ in self._steps(x, alive, side):
+                logits[t, :n] += s @ self.p["V"][i]
+        return _softmax(logits)
+
+    def sums(self, x: np.ndarray, sizes: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Sum of the label probabilities over the positions lo to hi of each window. As `positions`, without keeping them all."""
+        alive = np.searchsorted(-sizes, -np.arange(len(x)), "left")
+        # gates are 1 / (1 + exp(-a)), candidates 2 / (1 + exp(-2a)) - 1
+        signs = np.array([-1, -1, -2], np.float32)[:, None, None]
+        X, U = {s: self.p["X" + s] * signs for s in "fb"}, {s: self.p["U" + s] * signs for s in "fb"}
+        V, c, classes, width = self.p["V"], self.p["c"], len(self.p["c"]), x.shape[1]
+        logits = np.empty((len(x), width, classes), np.float32)
+        out, ones = np.zeros((width, classes), np.float32), np.ones((classes, 1), np.float32)
+        z, r, new, g = (np.empty((width, self.hidden), np.float32) for _ in range(4))
+        for i, side in enumerate("fb"):
+            state = np.zeros((width, self.hidden), np.float32)
+            for t in range(len(x)) if side == "f" else range(len(x) - 1, -1, -1):
+                n = int(alive[t])
+                s, at = state[:n], x[t, :n]
+                for k, gate in ((0, z[:n]), (1, r[:n]), (2, new[:n])):
+                    np.matmul(s if k < 2 else r[:n], U[side][k], out=gate)
+                    np.take(X[side][k], at, 0, out=g[:n], mode="clip")
+                    gate += g[:n]
+                    np.exp(gate, out=gate)
+                    gate += 1
+                    np.reciprocal(gate, out=gate)
+                    if k == 1:
+                        gate *= s
+                new[:n] *= 2
+                new[:n] -= 1
+                new[:n] -= s
+                new[:n] *= z[:n]
+                s += new[:n]
+                if side == "f":
+                    np.matmul(s, V[0], out=logits[t, :n])
+                    continue
+                p = logits[t, :n]
+                p += s @ V[1]
+                p += c  # states are within -1 and 1, so logits are too small to overflow
+                np.exp(p, out=p)
+                p *= ((t >= lo[:n]) & (t < hi[:n])).astype(np.float32)[:, None] / (p @ ones)
+                out[:n] += p
+        return out
 
     def gradient(self, x: np.ndarray, sizes: np.ndarray, label: np.ndarray) -> dict[str, np.ndarray]:
         """Gradient of the mean cross-entropy over all positions, by backpropagation through time."""
-        keep: dict = {}
-        prob = self.forward(x, sizes, keep)
+        alive = np.searchsorted(-sizes, -np.arange(len(x)), "left")
+        p = self.p
+        kept = {side: [(t, n, s.copy(), more) for t, n, s, more in self._steps(x, alive, side)] for side in "fb"}
+        logits = np.zeros((*x.shape, len(p["c"])), p["c"].dtype) + p["c"]
+        for i, side in enumerate("fb"):
+            for t, n, s, _ in kept[side]:
+                logits[t, :n] += s @ p["V"][i]
+        prob = _softmax(logits)
         inside = np.arange(len(x))[:, None] < sizes[None, :]
         prob[:, np.arange(len(label)), label] -= 1
-        prob *= inside[:, :, None] / inside.sum()
-        h, p = self.hidden, self.p
+        prob *= (inside / inside.sum()).astype(prob.dtype)[:, :, None]
         grad = {k: np.zeros_like(v) for k, v in p.items()}
-        grad["V"] = np.tensordot(keep["both"], prob, ((0, 1), (0, 1)))
         grad["c"] = prob.sum((0, 1))
-        back = prob @ p["V"].T
         for i, side in enumerate("fb"):
-            U, part = p["U" + side], back[:, :, i * h : (i + 1) * h]
-            carry = np.zeros((x.shape[1], h), np.float32)
-            for t, n, s, z, r, rs, new in reversed(keep[side]):
-                d = carry[:n] + part[t, :n]
+            U = p["U" + side]
+            carry = np.zeros((x.shape[1], self.hidden), p["c"].dtype)
+            for t, n, s, (before, z, r, rs, new) in reversed(kept[side]):
+                grad["V"][i] += s.T @ prob[t, :n]
+                d = carry[:n] + prob[t, :n] @ p["V"][i].T
                 dn = d * z * (1 - new * new)
-                drs = dn @ U[:, 2 * h :].T
-                dz = d * (new - s) * z * (1 - z)
-                dr = drs * s * r * (1 - r)
-                dzr = np.concatenate([dz, dr], 1)
-                carry[:n] = d * (1 - z) + drs * r + dzr @ U[:, : 2 * h].T
-                grad["U" + side][:, 2 * h :] += rs.T @ dn
-                grad["U" + side][:, : 2 * h] += s.T @ dzr
-                np.add.at(grad["X" + side], x[t, :n], np.concatenate([dzr, dn], 1))
+                drs = dn @ U[2].T
+                dz = d * (new - before) * z * (1 - z)
+                dr = drs * before * r * (1 - r)
+                carry[:n] = d * (1 - z) + drs * r + dz @ U[0].T + dr @ U[1].T
+                for k, (g, with_) in enumerate(((dz, before), (dr, before), (dn, rs))):
+                    grad["U" + side][k] += with_.T @ g
+                    np.add.at(grad["X" + side][k], x[t, :n], g)
         return grad
 
-    def train(self, words: list[bytes], labels: np.ndarray, steps: int = _STEPS, batch: int = _BATCH, rate: float = _RATE, seed: int = _SEED) -> None:
+    def train(self, pieces: list[bytes], labels: np.ndarray, steps: int = _STEPS, batch: int = _BATCH, rate: float = _RATE, seed: int = _SEED) -> None:
         rng = np.random.default_rng(seed)
         first = {k: np.zeros_like(v) for k, v in self.p.items()}
         second = {k: np.zeros_like(v) for k, v in self.p.items()}
         for i in range(1, steps + 1):
-            pick = sorted(rng.integers(0, len(words), batch).tolist(), key=lambda j: -len(words[j]))
-            x, sizes = padded([words[j] for j in pick])
+            pick = sorted(rng.integers(0, len(pieces), batch).tolist(), key=lambda j: -len(pieces[j]))
+            x, sizes = padded([pieces[j] for j in pick])
             for k, g in self.gradient(x, sizes, labels[pick]).items():
                 first[k] += 0.1 * (g - first[k])
                 second[k] += 0.01 * (g * g - second[k])
                 self.p[k] -= (rate * (1 - i / (steps + 1)) / (1 - 0.9**i)) * first[k] / (np.sqrt(second[k] / (1 - 0.99**i)) + 1e-8)
 
 
-def runs(words: list[bytes], longest: int = LONGEST) -> list[bytes]:
-    """The words, those of more than `longest` bytes cut into runs of that length."""
-    if max(map(len, words), default=0) <= longest:
-        return words
-    return [w[i : i + longest] for w in words for i in range(0, len(w), longest)]
-
-
-class Identifier:
-    def __init__(self, network: Network, languages: list[str], cache: int = _CACHE):
-        self.network, self.languages, self.cache = network, languages, cache
-        self._clear()
-
-    def _clear(self) -> None:
-        self.slots, self.sums = common.Slots(), np.zeros((0, len(self.languages)), np.float32)
-        self.sizes = np.zeros(0, np.int64)
-
-    def _learn(self, words: list[bytes]) -> None:
-        order = np.argsort([-len(w) for w in words], kind="stable")
-        sums, sizes = np.zeros((len(words), len(self.languages)), np.float32), np.zeros(len(words), np.int64)
-        for lo in range(0, len(words), 2048):
-            part = order[lo : lo + 2048]
-            x, n = padded([words[i] for i in part])
-            prob = self.network.forward(x, n)
-            prob *= (np.arange(len(x))[:, None] < n[None, :])[:, :, None]
-            sums[part], sizes[part] = prob.sum(0), n
-        self.sums, self.sizes = np.concatenate([self.sums, sums]), np.concatenate([self.sizes, sizes])
-
-    def pooled(self, texts: list[bytes]) -> np.ndarray:
-        """Mean probability of each language over all positions of each text; zeros for a text without words."""
-        if len(self.slots) > self.cache:
-            self._clear()
-        split = [runs(x.split()) for x in texts]
-        codes = np.array(list(map(self.slots.__getitem__, chain.from_iterable(split))), np.int64)
-        self._learn(self.slots.taken())
-        text = np.repeat(np.arange(len(texts)), np.fromiter(map(len, split), np.int64, len(split)))
-        n = np.maximum(np.bincount(text, self.sizes[codes], len(texts)), 1)
-        return np.stack([np.bincount(text, self.sums[codes, k], len(texts)) / n for k in range(len(self.languages))], 1)
+def _softmax(logits: np.ndarray) -> np.ndarray:
+    logits = np.exp(logits - logits.max(axis=2, keepdims=True))
+    return logits / logits.sum(axis=2, keepdims=True)
+
+
+def padded(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The pieces' bytes as a matrix (position, piece), and their sizes; pieces must be sorted by size, longest first."""
+    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    width = int(sizes[0]) if len(sizes) else 0
+    data = np.frombuffer(b"".join([p.ljust(width) for p in pieces]), np.uint8)
+    return np.ascontiguousarray(data.reshape(len(pieces), width).T), sizes
+
+
+def windows(lengths: np.ndarray, span: int = SPAN, context: int = CONTEXT) -> tuple[np.ndarray, ...]:
+    """(text, first byte, size, lo, hi) of the windows over texts of so many bytes: lo to hi, within the window, are the positions counted."""
+    n = -(-lengths // span)
+    text = np.repeat(np.arange(len(lengths)), n)
+    core = (np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)) * span
+    start, end = np.maximum(core - context, 0), np.minimum(core + span + context, lengths[text])
+    return text, start, end - start, core - start, np.minimum(core + span, lengths[text]) - start
+
+
+def pooled(network: Network, texts: list[bytes], span: int = SPAN, context: int = CONTEXT) -> np.ndarray:
+    """Mean probability of each language over all positions of each text; zeros for an empty text."""
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    text, start, size, lo, hi = windows(lengths, span, context)
+    flat = np.frombuffer(b"".join(texts) + b" ", np.uint8)
+    begin = (np.cumsum(lengths) - lengths)[text] + start
+    order = np.argsort(-size, kind="stable")
+    out = np.zeros((len(texts), len(network.p["c"])))
+    for a in range(0, len(order), _WINDOWS):
+        part = order[a : a + _WINDOWS]
+        at = begin[part][None, :] + np.arange(int(size[part[0]]))[:, None]
+        found = network.sums(flat.take(at, mode="clip"), size[part], lo[part], hi[part])
+        np.add.at(out, text[part], found)
+    return out / np.maximum(lengths, 1)[:, None]
+
+
+def pieces_of(doc_id: int, text: bytes, most: int = PIECES, size: int = PIECE) -> list[bytes]:
+    """Windows of a text to learn from: all that it has, or `most` at places drawn by the id."""
+    places = range(0, max(len(text) - size // 2, 1), size)
+    if len(places) > most:
+        rng = np.random.default_rng(zlib.crc32(str(doc_id).encode()))
+        places = sorted(rng.integers(0, len(text) - size + 1, most).tolist())
+    return [text[a : a + size] for a in places if text[a : a + size]]
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, folds: int = FOLDS) -> tuple[Network | None, list[str]]:
-    """Train on the words of `sample` documents at most (those whose ids have the smallest hashes) outside the held-out fold."""
+    """Train on windows of `sample` documents at most (those whose ids have the smallest hashes) outside the held-out fold."""
     known = docs.where("doc_id IS NOT NULL AND lang IS NOT NULL").where(common.crc_fold("doc_id", folds) != 0)
     known = known.groupBy("doc_id").agg(F.min("lang").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "label")
+    # one row per sampled document
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), "label")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in common.blocks(batch, _BLOCK_BYTES):
+                ids = part.column(0).to_pylist()
+                made = [pieces_of(i, t) for i, t in zip(ids, common.encoded(part.column(1)), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made, pa.list_(pa.binary())), part.column(2)], names=["doc_id", "pieces", "label"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: list[bytes] = []
+        pieces: list[bytes] = []
         names: list[str] = []
         for batch in batches:
-            for text, label in zip(common.encoded(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-                own = runs(text.split())
-                words += own
+            for own, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                pieces += own
                 names += [label] * len(own)
-        if not words:
+        if not pieces:
             return
         languages = sorted(set(names))
         index = {x: i for i, x in enumerate(languages)}
         network = Network(len(languages))
-        network.train(words, np.array([index[x] for x in names]))
+        network.train(pieces, np.array([index[x] for x in names]))
         held = io.BytesIO()
         np.savez(held, **network.p)
         yield pa.RecordBatch.from_arrays([pa.array([held.getvalue()], pa.binary()), pa.array([languages], pa.list_(pa.string()))], names=["model", "languages"])
 
-    found = rows.repartition(1).sortWithinPartitions("doc_id", "text").select("text", "label").mapInArrow(run, "model binary, languages array<string>").collect()
+    # the sample's windows, some megabytes at most, in one task
+    drawn = rows.mapInArrow(cut, "doc_id long, pieces array<binary>, label string").repartition(1).sortWithinPartitions("doc_id", "pieces")
+    found = drawn.select("pieces", "label").mapInArrow(run, "model binary, languages array<string>").collect()
     if not found:
         return None, []
     network = Network(len(found[0]["languages"]))
@@ -207,18 +252,16 @@ def identified(docs: DataFrame, sample: int = SAMPLE, folds: int = FOLDS) -> Dat
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        identifier = Identifier(network, languages) if network else None
         for batch in batches:
             for part in common.blocks(batch, _BLOCK_BYTES):
-                letters = np.array([bool(x) and _LETTER.search(x) is not None for x in part.column(at).to_pylist()])
-                if identifier:
-                    pooled = identifier.pooled(common.encoded(part.column(at)))
-                    best, score = pooled.argmax(1), np.where(letters, pooled.max(1), 0.0)
+                letters = np.array([x is not None and any(map(str.isalpha, x)) for x in part.column(at).to_pylist()])
+                if network:
+                    mean = pooled(network, common.encoded(part.column(at)))
+                    best, score = mean.argmax(1), np.where(letters, mean.max(1), 0.0)
                     names = [languages[i] if ok else "und" for i, ok in zip(best.tolist(), letters.tolist(), strict=True)]
                 else:
                     names, score = ["und"] * len(letters), np.zeros(len(letters))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(np.clip(score, 0, 1), pa.float64())], names=[*part.schema.names, "lang_pred", "score"])
-        del identifier
         common.give_back()
 
     return docs.mapInArrow(run, schema).withColumn("held_out", common.crc_fold("doc_id", folds) == 0)
