@@ -3,22 +3,28 @@
 The graph: every `window` consecutive words of a document are an edge; edges with equal words are one edge with a
 multiplicity. Words that an edge of multiplicity two or more covers are removed.
 
-Compaction keeps the edges from being shuffled one by one. Each edge has an anchor, the `k` words in it with the smallest
-hash (leftmost of ties); consecutive edges with the same anchor position form a path, on average a dozen edges. Equal edges
-have equal anchors, so
+Edges are not shuffled one by one. Each edge has an anchor, the `k` words in it with the smallest hash (leftmost of ties);
+consecutive edges with the same anchor position form a path, on average a dozen edges. Equal edges have equal anchors, so
 
 1. anchors that occur once rule out their whole path (aggregate, then a join drops these paths);
-2. paths of equal words are counted: a path that occurs twice or more is nonbranching and repeats as a whole (join);
-3. where an anchor starts two or more different paths the graph branches there: one source of each of these paths is opened,
-   by its source coordinates, into its single edges, and those are counted by their words.
-
-Paths and edges are told apart by digests of their words' bytes read at the source coordinates, 128 bits in all. Per document,
-adjoining repeated paths and edges become long spans.
+2. paths of equal words are counted: a path that occurs twice or more repeats as a whole (join);
+3. where an anchor starts two or more different paths, one source of each of these paths is opened, by its source coordinates,
+   into its single edges, and those are counted by their words;
+4. repeated paths are compacted: from the neighbours of all occurrences comes which other path each one leads to and comes
+   from; where one leads always to the same one, and that one comes always from it, the two are glued (a join of
+   out-degrees with in-degrees, and one that brings its result to the occurrences). So each maximal nonbranching run of
+   paths is one long span per occurrence;
+5. long spans are verified at their source coordinates: the words of all occurrences of a span, read from the texts, are compared
+   with each other, and an occurrence whose words no other one has is not cut out.
+
+Until then paths are told apart by digests of their words' bytes, 128 bits in all with the anchor's; the single edges at branchings, a window
+long each, are told apart by 128 bits of their words' bytes and not read again.
 
 Defined results: null text has no words; texts shorter than a window lose none; words that overlap their own earlier
 occurrence are removed like any other; repeated rows (same id, same text) are occurrences of each other; rows with null ids
-are documents like others, told apart by their text; an empty table gives an empty result; other columns pass through
-`removed` untouched.
+are documents like others, told apart by their text; texts of any length are worked on whole, their grams numbered piece by
+piece, and spans are compared in pieces of `PIECE` words; an empty table gives an empty result; other columns, whatever their names, pass
+through `strip` and, but for `cuts`, which is the result's own, `removed`.
 """
 
 from __future__ import annotations
@@ -29,12 +35,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 
-WINDOW, K = 35, 10
+WINDOW, K, PIECE = 35, 10, 4096
 _BLOCK_BYTES = 2 << 20
 
 
@@ -114,7 +120,7 @@ def _keyed(docs: DataFrame, *columns: str) -> DataFrame:
 
 
 def paths(keyed: DataFrame, window: int, k: int) -> DataFrame:
-    schema = "d long, h int, lo int, n byte, a long, s long"
+    schema = "d long, h int, lo int, n int, a long, s long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,7 +128,7 @@ def paths(keyed: DataFrame, window: int, k: int) -> DataFrame:
                 of, lo, n, a, s = paths_of(common.encoded(part.column(2)), window, k)
                 if len(of):
                     take = pa.array(of)
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int8)), pa.array(a), pa.array(s)], names=["d", "h", "lo", "n", "a", "s"])
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(a), pa.array(s)], names=["d", "h", "lo", "n", "a", "s"])
 
     return keyed.mapInArrow(run, schema)
 
@@ -157,11 +163,11 @@ def _edges(keyed: DataFrame, opened: DataFrame, window: int) -> DataFrame:
     return met.mapInArrow(run, schema)
 
 
-def spans(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
-    """d, h, lo, n: runs of n repeated edges of a document from word lo on; the words lo to lo+n+window-2 go.
+def repeated(docs: DataFrame, window: int = WINDOW, k: int = K) -> tuple[DataFrame, DataFrame]:
+    """The repeated paths of each document (d, h, lo, n, k1, k2: n edges from word lo on, told by two digests), and the repeated edges of paths at
+    branchings (d, h, lo).
 
-    Runs may adjoin; `removed` merges them. What is counted is staged before it is joined, so that the planner can split a
-    join's hot keys on the side of the paths.
+    What is counted is staged before it is joined, so that the planner can split a join's hot keys on the side of the paths.
     """
     spark, keyed = docs.sparkSession, _keyed(docs, "doc_id", "text")
     made = common.staging(spark, "paths")
@@ -173,23 +179,83 @@ def spans(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
     common.drop_path(spark, made)
     # 2. multiplicity of whole paths, and one source of each
     path = common.staged(some.groupBy("a", "s").agg(F.count("*").alias("c"), F.min(F.struct("d", "h", "lo", "n")).alias("source")), "multiplicity")
-    whole = some.join(path.where("c > 1").select("a", "s"), ["a", "s"]).select("d", "h", "lo", F.col("n").cast("int").alias("n"))
+    whole = some.join(path.where("c > 1").select("a", "s"), ["a", "s"]).select("d", "h", "lo", "n", F.col("a").alias("k1"), F.col("s").alias("k2"))
     # 3. branching anchors: their paths are opened into edges
     branching = common.staged(path.groupBy("a").agg(F.count("*").alias("ways")).where("ways > 1").select("a"), "branching")
     edge = _edges(keyed, path.join(branching, "a").select("source.*"), window)
     # grouped as one struct, the counts are shuffled once more for the join, and the planner can split a hot edge's rows there
     again = edge.groupBy(F.struct("e1", "e2").alias("e")).agg(F.count("*").alias("c")).where("c > 1").select("e.e1", "e.e2")
-    single = edge.join(again, ["e1", "e2"]).select("d", "h", F.col("pos").alias("lo"), F.lit(1).alias("n"))
-    return whole.union(single)
+    return whole, edge.join(again, ["e1", "e2"]).select("d", "h", F.col("pos").alias("lo"))
+
+
+def compacted(whole: DataFrame) -> DataFrame:
+    """d, h, lo, n, k1, k2: each maximal nonbranching run of repeated paths as one span per occurrence, told by its first path."""
+    w = Window.partitionBy("d", "h").orderBy("lo")
+    # repeated rows hold the same paths at the same places: one of each place is enough
+    before, after = F.lag(F.struct("lo", "n", "k1", "k2")).over(w), F.lead(F.struct("lo", "k1", "k2")).over(w)
+    beside = whole.distinct().withColumns({"p": before, "q": after})
+    follows, leads = F.col("p.lo") + F.col("p.n") == F.col("lo"), F.col("q.lo") == F.col("lo") + F.col("n")
+    steps = common.staged(beside.select("d", "h", "lo", "n", "k1", "k2", *[F.when(ok, F.col(f"{x}.k{i}")).alias(f"{x}{i}") for x, ok in (("p", follows), ("q", leads)) for i in (1, 2)]), "steps")
+
+    def only(x: str) -> DataFrame:
+        """Paths that always have a neighbour on this side, and always the same one."""
+        one, two = f"{x}1", f"{x}2"
+        same = (F.count(one) == F.count("*")) & (F.min(one) == F.max(one)) & (F.min(two) == F.max(two))
+        return steps.groupBy("k1", "k2").agg(same.alias("same"), F.min(one).alias(one), F.min(two).alias(two)).where("same").drop("same")
+
+    out = only("q").select(F.col("k1").alias("p1"), F.col("k2").alias("p2"), F.col("q1").alias("k1"), F.col("q2").alias("k2"))
+    glued = common.staged(only("p").join(out, ["k1", "k2", "p1", "p2"]).select("k1", "k2", F.lit(1).alias("glued")), "glued")
+    marked = steps.select("d", "h", "lo", "n", "k1", "k2").join(glued, ["k1", "k2"], "left")
+    number = F.sum(F.when(F.col("glued").isNull(), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    runs = marked.withColumn("run", number).groupBy("d", "h", "run").agg(F.min(F.struct("lo", "k1", "k2")).alias("f"), F.sum("n").cast("int").alias("n"))
+    return runs.select("d", "h", "f.lo", "n", "f.k1", "f.k2")
+
+
+def spans(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
+    """d, h, lo, n, k1, k2: runs of n repeated edges of a document from word lo on; the words lo to lo+n+window-2 go, once they are verified. Keys are
+    null for single edges. Runs may adjoin; `cover` merges them."""
+    whole, single = repeated(docs, window, k)
+    none = F.lit(None).cast("long")
+    return compacted(whole).unionByName(single.distinct().select("d", "h", "lo", F.lit(1).alias("n"), none.alias("k1"), none.alias("k2")))
+
+
+def unverified(cut: DataFrame, window: int) -> DataFrame:
+    """d, h, lo of the long spans that have a piece whose words no other occurrence has. cut: __d, __h, text, cuts."""
+    schema = "d long, h int, lo int, k1 long, k2 long, piece int, words binary"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in common.blocks(batch, _BLOCK_BYTES):
+                rows = []
+                for d, h, text, cuts in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), common.encoded(part.column(2)), part.column(3).to_pylist(), strict=True):
+                    words = text.split()
+                    for c in cuts:
+                        if c["k1"] is None:
+                            continue
+                        end = c["lo"] + c["n"] + window - 1
+                        rows += [(d, h, c["lo"], c["k1"], c["k2"], i, b" ".join(words[a : min(a + PIECE, end)])) for i, a in enumerate(range(c["lo"], end, PIECE))]
+                yield common.out_batch(held, zip(*rows, strict=True) if rows else [[]] * len(held))
+
+    held = pa.schema([("d", pa.int64()), ("h", pa.int32()), ("lo", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()), ("piece", pa.int32()), ("words", pa.binary())])
+    said = cut.select("__d", "__h", "text", "cuts").where("cuts IS NOT NULL").mapInArrow(run, schema)
+    alone = said.groupBy("k1", "k2", "piece", "words").agg(F.count("*").alias("c"), *[F.min(x).alias(x) for x in ("d", "h", "lo")]).where("c = 1")
+    return alone.select("d", "h", "lo").distinct()
 
 
 def removed(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
-    """docs with `cuts`, an array of repeated runs (lo, n) of the document's words, null where nothing repeats."""
-    found = spans(docs, window, k).groupBy("d", "h").agg(F.collect_set(F.struct("lo", "n")).alias("cuts"))
-    found = found.select(F.col("d").alias("__of"), F.col("h").alias("__hash"), "cuts")
+    """docs with `cuts`, an array of verified repeated runs (lo, n) of the document's words, null where nothing repeats."""
     docs = docs.drop("cuts")
+    found = spans(docs, window, k).groupBy("d", "h").agg(F.collect_list(F.struct("lo", "n", "k1", "k2")).alias("cuts"))
+    found = found.select(F.col("d").alias("__of"), F.col("h").alias("__hash"), "cuts")
     rows = _keyed(docs, *docs.columns)
-    return rows.join(found, (F.col("__d") == F.col("__of")) & (F.col("__h") == F.col("__hash")), "left").drop("__d", "__h", "__of", "__hash")
+    cut = common.staged(rows.join(found, (F.col("__d") == F.col("__of")) & (F.col("__h") == F.col("__hash")), "left").drop("__of", "__hash"), "cut")
+    wrong = common.staged(unverified(cut, window), "unverified")
+    if not wrong.isEmpty():
+        lists = wrong.groupBy(F.col("d").alias("__of"), F.col("h").alias("__hash")).agg(F.collect_list("lo").alias("__wrong"))
+        met = cut.join(lists, (F.col("__d") == F.col("__of")) & (F.col("__h") == F.col("__hash")), "left")
+        kept = F.filter("cuts", lambda c: c["k1"].isNull() | ~F.array_contains(F.coalesce("__wrong", F.array().cast("array<int>")), c["lo"]))
+        cut = met.withColumn("cuts", F.when(F.size(kept) > 0, kept)).drop("__of", "__hash", "__wrong")
+    return cut.withColumn("cuts", F.transform("cuts", lambda c: F.struct(c["lo"].alias("lo"), c["n"].alias("n")))).drop("__d", "__h")
 
 
 def cover(n_words: int, cuts: list[dict] | None, window: int) -> np.ndarray:
@@ -206,7 +272,9 @@ def strip(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
     """docs with the repeated words cut out of `text` and n_chars, if there, counted anew. Texts without repeats stay as they are;
     in the others what is kept stands joined by single spaces within a line and keeps its line breaks."""
     cols = list(docs.columns)
-    out = removed(docs, window, k)
+    # a column of the name of the result's own waits under another name
+    away = {"cuts": "__cuts"} if "cuts" in cols else {}
+    out = removed(docs.withColumnsRenamed(away), window, k)
     schema = out.schema
 
     def cut(text: bytes, cuts: list[dict]) -> str:
@@ -228,7 +296,7 @@ def strip(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
             new = pa.array([cut(t.encode(), c) if c else t for t, c in zip(texts, cuts, strict=True)], batch.column(at).type)
             yield batch.set_column(at, batch.schema.field(at), new)
 
-    done = out.mapInArrow(run, schema).drop("cuts")
+    done = out.mapInArrow(run, schema).drop("cuts").withColumnsRenamed({b: a for a, b in away.items()})
     if "n_chars" in cols:
         done = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return done.select(*cols)

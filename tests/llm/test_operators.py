@@ -68,6 +68,45 @@ def test_substring_repeated_rows_and_null_ids(spark):
     assert len(out) == 4
 
 
+def test_substring_wide_windows_and_clashing_columns(spark):
+    rng = random.Random(9)
+    shared = " ".join(f"s{rng.randrange(10**6)}" for _ in range(900))
+    rows = [(1, shared, 5), (2, "head " + shared + " tail", 6), (3, shared[:2000], 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, cuts int")
+    for window in (200, 300):
+        assert {r.doc_id: r.n_removed for r in substring.digests(docs.where("doc_id < 3"), window).collect()} == {1: 900, 2: 900}
+    out = {r.doc_id: (r.text, r.cuts) for r in substring.strip(docs).collect()}
+    assert out[1] == ("", 5) and out[2] == ("head tail", 6) and out[3][1] == 7
+    assert substring.strip(docs.where("false")).columns == docs.columns and substring.digests(docs.where("false")).count() == 0
+
+
+def test_substring_compaction_and_verification(spark):
+    """Shared passages become one span per occurrence; a span whose words no other one has is found out."""
+    rng = random.Random(2)
+    fresh = lambda n: " ".join(f"f{rng.randrange(10**9)}" for _ in range(n))
+    passage = fresh(400)
+    docs = spark.createDataFrame([(i, f"{fresh(40)} {passage} {fresh(40)}") for i in range(4)], "doc_id long, text string")
+    whole, _ = substring.repeated(docs)
+    long = substring.compacted(whole).collect()
+    assert len(long) == 4 and whole.count() > 40 and len({(r.k1, r.k2, r.n) for r in long}) == 1
+    same = [{"lo": 0, "n": 6, "k1": 1, "k2": 1}]
+    cut = spark.createDataFrame([(1, 0, "a " * 40, same), (2, 0, "a " * 40, same), (3, 0, "a " * 39 + "b", same), (4, 0, None, None)], "__d long, __h int, text string, cuts array<struct<lo:int,n:int,k1:long,k2:long>>")
+    assert [(r.d, r.h, r.lo) for r in substring.unverified(cut, 35).collect()] == [(3, 0, 0)]
+
+
+def test_substring_very_long_text():
+    """Grams of a text beyond one numbered piece, against the plain least."""
+    rng = np.random.default_rng(0)
+    grams = rng.integers(0, 1 << 63, 200_000).astype(np.uint64)
+    old, substring._PLACE_BITS = substring._PLACE_BITS, 12
+    try:
+        got = substring.anchors(grams, 26)
+    finally:
+        substring._PLACE_BITS = old
+    high = grams & ~substring._LOW
+    assert all(got[i] == i + int(high[i : i + 26].argmin()) for i in range(0, len(got), 997))
+
+
 def brute_fingerprint(text):
     w = (text or "").encode().lower().split()
     shingles = [b" ".join(w[j : j + 4]) for j in range(len(w) - 3)] if len(w) >= 4 else [b" ".join(w)] if w else []
