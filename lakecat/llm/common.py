@@ -29,23 +29,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares; a temporary one of this machine only where none is set, as in tests."""
+    """The folder that the cluster shares. Where none is set, one of this machine in local mode, as in tests; on a cluster that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="lakecat-")
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
 
 
+#: Paths that this driver has staged and not deleted yet.
+_STAGED: list[str] = []
+
+
 def staging(spark: SparkSession, what: str) -> str:
     """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/lakecat-{what}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/lakecat-{what}-{uuid.uuid4().hex}"
+    _STAGED.append(path)
+    return path
+
+
+def release(spark: SparkSession, kept: Iterable[str] = (), since: int = 0) -> None:
+    """Delete what was staged, from the since-th path on, but for the kept paths; for when results that read it are not needed any more."""
+    kept = set(kept)
+    for path in _STAGED[since:]:
+        if path not in kept:
+            drop_path(spark, path)
+
+
+def staged_so_far() -> int:
+    return len(_STAGED)
 
 
 def staged(df: DataFrame, what: str, compression: str = "zstd") -> DataFrame:
     """Write df below the shared folder and read it back: cuts the lineage and survives lost executors."""
-    path = staging(df.sparkSession, what)
+    return staged_at(df, staging(df.sparkSession, what), compression)
+
+
+def staged_at(df: DataFrame, path: str, compression: str = "zstd") -> DataFrame:
     df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -53,6 +76,8 @@ def staged(df: DataFrame, what: str, compression: str = "zstd") -> DataFrame:
 def drop_path(spark: SparkSession, path: str) -> None:
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+    if path in _STAGED:
+        _STAGED.remove(path)
 
 
 def crc_fold(column: str | Column, folds: int = 5) -> Column:

@@ -3,9 +3,9 @@
 1. Every text becomes its sequence of terms (lower-case runs of letters and digits), as numbers of the benchmark's vocabulary;
    terms that no item holds share one number. They would add nothing to an inner product with an item.
 2. Passages of `length` terms, one after another in every document, give document frequencies and the TF-IDF matrix.
-3. One pass of a randomised SVD over all passages, of the terms that are not common: each task adds up A'(A G) for its passages and a fixed random G (terms x rank
-   plus oversampling), the sums are added up in the shared shuffle, and the driver solves the small eigenproblem. What is
-   gathered is bounded by the benchmark's vocabulary, not by the corpus.
+3. One pass of a randomised SVD over all passages: each task adds up A'(A G) for its passages and a fixed random G (terms x rank
+   plus oversampling), the sums are added up in the shared shuffle, and the driver solves the small eigenproblem. A term weighs
+   by how far its IDF is above that of a term in a share COMMON of all passages; what is more frequent weighs nothing.
 4. Candidates for an item are all windows, little longer than the item, that hold as many terms of it as a paraphrase needs. Terms in
    order are terms held, so this is a bound and loses none, whatever the item's length. There is no limit on candidates.
 5. Candidates are verified by the longest common subsequence of the item and the window: a share of `same` of the item's terms is a
@@ -14,14 +14,20 @@
 6. The cosine of item and passages in the latent space is reported for what was found; it excludes nothing. That of an item
    much longer than a passage is low by nature.
 
-Defined results: a null text has no terms; a text shorter than a passage is one passage; items without terms match nothing;
-repeated items match alike, each under its own id; repeated rows and null ids are documents like others (one row each per
-item); an empty benchmark or corpus gives no row; extra columns are not read by `matches` and pass through `clean`.
+The benchmark is the stated query set. It is worked on in groups of items of at most VOCABULARY distinct terms (one item at least),
+each with its own vocabulary and latent space: so what goes to every task, and what comes back to the driver (terms x
+RANK + OVERSAMPLE numbers), is bounded by VOCABULARY, whatever the sizes of benchmark and corpus.
+
+Defined results: a null text has no terms; a text shorter than a passage is one passage; texts of any length are searched whole, their
+blocks and candidates in steps of bounded size; items without terms match nothing; repeated items match alike, each under its own id; repeated rows
+and null ids are documents like others (`matches` has one row for each id and item, `clean` tells rows of an id apart by their
+texts); an empty benchmark or corpus gives no row; extra columns, whatever their names, are not read by `matches` and pass through `clean`.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +37,10 @@ from pyspark.sql import functions as F
 from . import common
 
 LENGTH, STRIDE, RANK, OVERSAMPLE = 24, 8, 64, 8
-#: Terms in more than this share of all passages (and 100 passages more) are no part of the latent space, unless an item has
-#: fewer than FEW other terms.
+#: Terms in more than this share of all passages weigh nothing in the latent space, unless an item has fewer than FEW other terms.
 COMMON, FEW = 0.05, 4
+#: Distinct terms of the items that are searched for at a time.
+VOCABULARY = 100_000
 SAME, ALIKE, ANSWER, MASS, SLACK = 0.85, 0.65, 6, 0.7, 1.3
 #: Windows that start in the same BLOCK terms are candidates together; items of a group and cells of a matrix bound memory.
 BLOCK, _ITEMS, _CELLS = 8, 256, 1 << 18
@@ -81,13 +88,13 @@ class Benchmark:
 
 
 def weights(bench: Benchmark, df: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """IDF of each term, and that of the terms of the latent space, zero for the others."""
+    """IDF of each term, and its weight in the latent space."""
     idf = np.log((1 + n) / (1 + df)).astype(np.float32)
-    rare = df <= COMMON * n + 100
+    weight = np.maximum(idf + np.float32(np.log(COMMON)), 0)
     for item in bench.items:
-        if len(np.unique(item[rare[item]])) < FEW:
-            rare[item] = True
-    return idf, np.where(rare, idf, 0).astype(np.float32)
+        if len(np.unique(item[weight[item] > 0])) < FEW:
+            weight[item] = np.maximum(weight[item], idf[item])
+    return idf, weight
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -277,7 +284,7 @@ def cosines(bench: Benchmark, rows: np.ndarray, targets: np.ndarray, numbers: np
 
 
 def sequences(docs: DataFrame, benchmark: Benchmark) -> DataFrame:
-    """doc_id and `terms`, little-endian 32-bit numbers of the text's terms."""
+    """doc_id, a hash of the text, and `terms`, little-endian 32-bit numbers of the text's terms."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -286,9 +293,9 @@ def sequences(docs: DataFrame, benchmark: Benchmark) -> DataFrame:
                 numbers = benchmark.number(hashes)
                 offsets = np.concatenate([[0], np.cumsum(counts) * 4]).astype(np.int32)
                 blob = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(numbers.tobytes())])
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), blob], names=["doc_id", "terms"])
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), part.column(2), blob], names=["doc_id", "hash", "terms"])
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, terms binary")
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("hash")).mapInArrow(run, "doc_id long, hash long, terms binary")
 
 
 def _numbers(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -369,15 +376,34 @@ def basis_of(seqs: DataFrame, idf: np.ndarray, length: int, rank: int, oversampl
     return (Q @ vectors[:, np.argsort(-values)[:rank]]).astype(np.float32)
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, length: int = LENGTH, stride: int = STRIDE, rank: int = RANK) -> DataFrame:
-    """doc_id, item_id, share (of the item's terms, in order) and cosine: one row for each document and item that it holds."""
-    spark = docs.sparkSession
-    # the benchmark is the stated query set: its items go to every task
-    items = [(r["item_id"], r["text"]) for r in benchmark.select("item_id", "text").distinct().orderBy("item_id", "text").toLocalIterator()]
-    bench = Benchmark(items)
-    schema = "doc_id long, item_id long, share double, cosine double"
-    if not bench.size:
-        return spark.createDataFrame([], schema)
+def groups(items: Iterable[tuple[int, str]], most: int = VOCABULARY) -> Iterator[Benchmark]:
+    """The items in groups of at most `most` distinct terms."""
+    held: list[tuple[int, str]] = []
+    known: set[int] = set()
+    for item in items:
+        own = set(terms([item[1] or ""])[0].tolist())
+        if held and len(known | own) > most:
+            yield Benchmark(held)
+            held, known = [], set()
+        held.append(item)
+        known |= own
+    if held:
+        yield Benchmark(held)
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, length: int, stride: int, rank: int) -> DataFrame:
+    """doc_id, hash (of the text), item_id, share and cosine of all windows found."""
+    items = ((r["item_id"], r["text"]) for r in benchmark.select("item_id", "text").distinct().orderBy("item_id", "text").toLocalIterator())
+    each = [_found_of(docs, bench, length, stride, rank) for bench in groups(items) if bench.size]
+    if not each:
+        return docs.sparkSession.createDataFrame([], _FOUND)
+    return functools.reduce(DataFrame.unionByName, each)
+
+
+_FOUND = "doc_id long, hash long, item_id long, share double, cosine double"
+
+
+def _found_of(docs: DataFrame, bench: Benchmark, length: int, stride: int, rank: int) -> DataFrame:
     seqs = common.staged(sequences(docs, bench), "terms")
     df, n = frequencies(seqs, bench.size, length)
     idf, weight = weights(bench, df, n)
@@ -392,17 +418,23 @@ def matches(docs: DataFrame, benchmark: DataFrame, length: int = LENGTH, stride:
                 if len(found[0]):
                     text, item, share, _ = found
                     cosine = cosines(bench, rows, targets, numbers, counts, found, length, stride)
-                    columns = [part.column(0).take(pa.array(text, pa.int64())), pa.array([bench.ids[x] for x in item], pa.int64()), pa.array(share, pa.float64()), pa.array(cosine, pa.float64())]
-                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "item_id", "share", "cosine"])
+                    take = pa.array(text, pa.int64())
+                    columns = [part.column(0).take(take), part.column(1).take(take), pa.array([bench.ids[x] for x in item], pa.int64()), pa.array(share, pa.float64()), pa.array(cosine, pa.float64())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "hash", "item_id", "share", "cosine"])
+
+    return seqs.mapInArrow(run, _FOUND)
 
-    # the stored order keeps a document whole, so a document's rows are final; repeated rows fall together here
-    return seqs.mapInArrow(run, schema).groupBy("doc_id", "item_id").agg(F.max("share").alias("share"), F.max("cosine").alias("cosine"))
+
+def matches(docs: DataFrame, benchmark: DataFrame, length: int = LENGTH, stride: int = STRIDE, rank: int = RANK) -> DataFrame:
+    """doc_id, item_id, share (of the item's terms, in order) and cosine: one row for each document and item that it holds."""
+    found = _found(docs, benchmark, length, stride, rank)
+    return found.groupBy("doc_id", "item_id").agg(F.max("share").alias("share"), F.max("cosine").alias("cosine"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """docs without those that hold an item. A row with a null id goes if any null-id row holds one."""
-    bad = matches(docs, benchmark, **options).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, length: int = LENGTH, stride: int = STRIDE, rank: int = RANK) -> DataFrame:
+    """docs without those that hold an item. Rows of the same id, null included, are told apart by their texts."""
+    bad = _found(docs, benchmark, length, stride, rank).select(F.col("doc_id").alias("__id"), F.col("hash").alias("__hash")).distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("__id")) & F.xxhash64(docs["text"]).eqNullSafe(F.col("__hash")), "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

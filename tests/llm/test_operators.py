@@ -416,3 +416,20 @@ def test_substring_anchors_past_24_bits():
     assert len(at) == len(grams) - 25
     for p in [0, *range((1 << 24) - 60, len(at), 7), len(at) - 1]:
         assert at[p] == p + int((grams[p : p + 26] >> np.uint64(24)).argmin())
+
+
+def test_decontamination_in_groups_and_by_row(spark):
+    rng = random.Random(12)
+    text = lambda n: " ".join(f"{rng.choice('bcdfg')}{rng.randrange(400)}" for _ in range(n))
+    items = [(i, text(30)) for i in range(6)]
+    assert [b.ids for b in decontam.groups(items, 1)] == [[i] for i in range(6)]
+    assert [i for b in decontam.groups(items, 60) for i in b.ids] == list(range(6)) and all(b.size <= 60 for b in decontam.groups(items, 60))
+    rows = [(None, text(50)), (None, f"{text(20)} {items[0][1]} {text(9)}"), (7, text(50)), (7, f"{text(9)} {items[4][1]}"), (8, items[5][1])]
+    docs, bench = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, hash string"), spark.createDataFrame(items, "item_id long, text string")
+    old = decontam.groups.__defaults__
+    decontam.groups.__defaults__ = (60,)
+    try:
+        assert {(r.doc_id, r.item_id) for r in decontam.matches(docs, bench).collect()} == {(None, 0), (7, 4), (8, 5)}
+        assert sorted((r.doc_id or 0, r.text, r.hash) for r in decontam.clean(docs, bench).collect()) == sorted((i or 0, t, "x") for i, t in (rows[0], rows[2]))
+    finally:
+        decontam.groups.__defaults__ = old
