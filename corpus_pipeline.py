@@ -1,6 +1,11 @@
 """The corpus pipeline: five stages over `documents`, each one of the operators in lakecat.llm.
 
 Each stage takes what its predecessor kept and returns the columns of documents; the last one returns the encoded documents.
+
+Defined results: a null text counts as empty wherever it is scored, hashed or encoded, and stays null in the rows; rows with null or equal
+ids are documents of their own; exact copies are near-duplicates, so one of each group stays; ties between copies go to the
+smallest id, null ids last, then the smallest text; texts of any length are worked on whole; an empty table passes through all stages as an
+empty one; extra columns, whatever their names, pass through the stages that return documents. The operators' docstrings say more.
 """
 
 from __future__ import annotations
@@ -51,8 +56,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole table; each one's rows are written below the shared folder before the next one reads them."""
+    """All stages over the whole table; each one's rows are written below the shared folder before the next one reads them, and what a
+    stage has read or staged itself is deleted once its rows are written."""
     docs = common.table(spark, sf_dir, "documents")
+    begin = common.staged_so_far()
     for name, stage in STAGES[:-1]:
-        docs = common.staged(stage(spark, docs, sf_dir), f"stage-{name}")
+        kept = common.staging(spark, f"stage-{name}")
+        docs = common.staged_at(stage(spark, docs, sf_dir), kept)
+        common.release(spark, [kept], begin)
     return STAGES[-1][1](spark, docs, sf_dir)
