@@ -10,6 +10,7 @@ import contextlib
 import ctypes
 import gc
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -40,27 +41,32 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-#: Paths that this driver has staged and not deleted yet.
-_STAGED: list[str] = []
+class _Staged(threading.local):
+    def __init__(self):
+        self.paths: list[str] = []
+
+
+#: Paths that this thread of the driver has staged and not deleted yet.
+_STAGED = _Staged()
 
 
 def staging(spark: SparkSession, what: str) -> str:
     """A new path below the shared folder."""
     path = f"{shared_dir(spark)}/lakecat-{what}-{uuid.uuid4().hex}"
-    _STAGED.append(path)
+    _STAGED.paths.append(path)
     return path
 
 
 def release(spark: SparkSession, kept: Iterable[str] = (), since: int = 0) -> None:
     """Delete what was staged, from the since-th path on, but for the kept paths; for when results that read it are not needed any more."""
     kept = set(kept)
-    for path in _STAGED[since:]:
+    for path in _STAGED.paths[since:]:
         if path not in kept:
             drop_path(spark, path)
 
 
 def staged_so_far() -> int:
-    return len(_STAGED)
+    return len(_STAGED.paths)
 
 
 def staged(df: DataFrame, what: str, compression: str = "zstd") -> DataFrame:
@@ -68,16 +74,26 @@ def staged(df: DataFrame, what: str, compression: str = "zstd") -> DataFrame:
     return staged_at(df, staging(df.sparkSession, what), compression)
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def staged_at(df: DataFrame, path: str, compression: str = "zstd") -> DataFrame:
-    df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """As staged, at a path of `staging`. The files of the job's own shuffles, which nothing reads once the rows are written, go with the job."""
+    spark = df.sparkSession
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
-    if path in _STAGED:
-        _STAGED.remove(path)
+    if path in _STAGED.paths:
+        _STAGED.paths.remove(path)
 
 
 def crc_fold(column: str | Column, folds: int = 5) -> Column:

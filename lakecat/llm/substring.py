@@ -171,8 +171,7 @@ def repeated(docs: DataFrame, window: int = WINDOW, k: int = K) -> tuple[DataFra
     """
     spark, keyed = docs.sparkSession, _keyed(docs, "doc_id", "text")
     made = common.staging(spark, "paths")
-    paths(keyed.select("__d", "__h", "text"), window, k).write.option("compression", "zstd").parquet(made)
-    all_ = spark.read.parquet(made)
+    all_ = common.staged_at(paths(keyed.select("__d", "__h", "text"), window, k), made)
     # 1. anchors that occur twice or more, counted before they are shuffled
     twice = common.staged(all_.groupBy("a").agg(F.count("*").alias("c")).where("c > 1").select("a"), "anchors")
     some = common.staged(all_.join(twice, "a"), "repeated")
@@ -245,10 +244,15 @@ def unverified(cut: DataFrame, window: int) -> DataFrame:
 def removed(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
     """docs with `cuts`, an array of verified repeated runs (lo, n) of the document's words, null where nothing repeats."""
     docs = docs.drop("cuts")
-    found = spans(docs, window, k).groupBy("d", "h").agg(F.collect_list(F.struct("lo", "n", "k1", "k2")).alias("cuts"))
+    spark, mark, kept = docs.sparkSession, common.staged_so_far(), common.staging(docs.sparkSession, "spans")
+    all_ = common.staged_at(spans(docs, window, k), kept)
+    common.release(spark, [kept], mark)
+    found = all_.groupBy("d", "h").agg(F.collect_list(F.struct("lo", "n", "k1", "k2")).alias("cuts"))
     found = found.select(F.col("d").alias("__of"), F.col("h").alias("__hash"), "cuts")
     rows = _keyed(docs, *docs.columns)
-    cut = common.staged(rows.join(found, (F.col("__d") == F.col("__of")) & (F.col("__h") == F.col("__hash")), "left").drop("__of", "__hash"), "cut")
+    whole = common.staging(spark, "cut")
+    cut = common.staged_at(rows.join(found, (F.col("__d") == F.col("__of")) & (F.col("__h") == F.col("__hash")), "left").drop("__of", "__hash"), whole)
+    common.release(spark, [whole], mark)
     wrong = common.staged(unverified(cut, window), "unverified")
     if not wrong.isEmpty():
         lists = wrong.groupBy(F.col("d").alias("__of"), F.col("h").alias("__hash")).agg(F.collect_list("lo").alias("__wrong"))
