@@ -11,8 +11,9 @@ of the file holds a space. The decoder joins the tokens' strings by single space
 decoder.
 
 Defined results: null text counts as empty and has no ids; special strings inside a text are found as the library finds them;
-repeated rows are encoded alike; null ids pass through; an empty table gives an empty result; extra columns pass through
-`encode`.
+repeated rows are encoded alike; null ids pass through; texts of any length are encoded whole, those that Arrow brings in one batch in
+blocks of some megabytes; an empty table gives an empty result; extra columns pass through `encode`, but for those of the names of
+its results, which it replaces.
 """
 
 from __future__ import annotations

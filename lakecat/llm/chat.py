@@ -12,7 +12,8 @@ for each text of the trained role, none of the marks. Joined, the segments are t
 
 Defined results: turns are ordered by turn, then role, then text, nulls first; a null role or text counts as empty; repeated
 rows are turns of their own; rows with a null conv_id form one conversation; a conversation without the trained role has
-no loss; an empty table gives an empty result; extra columns are left out.
+no loss; an empty table gives an empty result; extra columns are left out. Texts of any length are formatted whole; a conversation
+is one row of the output, so all its turns have to fit one task.
 """
 
 from __future__ import annotations
@@ -24,8 +25,9 @@ from . import common
 
 START, TEXT, SEP, END = "<|im_start|>", "<|im_text|>", "<|im_sep|>", "<|im_end|>\n"
 TRAINED = "assistant"
-#: Strings that chat models read as control strings, without their first character; as a regular expression.
-CONTROL = r"\|im_(?:start|text|sep|end)\|>|/?s>|/?INST\]|</?SYS>>"
+#: Strings that chat models and tokenizers read as control strings (any name between <| and |>), without their first
+#: character; as a regular expression.
+CONTROL = r"\|[A-Za-z0-9_]+\|>|/?s>|/?INST\]|</?SYS>>"
 
 
 def escape(text: Column) -> Column:
@@ -122,7 +124,7 @@ WITH rows_ AS (
                    (-1, 1, 'assistant', '</s>[INST] ok [/INST]', '</s>[INST] ok [/INST]', 'assistant')
 ), seen AS (
   SELECT *, row_number() OVER w AS n, lag(role) OVER w AS before,
-         length(regexp_replace(replace(text, '\', '\\'), '([<\[])(\|im_(?:start|text|sep|end)\|>|/?s>|/?INST\]|</?SYS>>)', '\1\\\2', 'g')) AS own
+         length(regexp_replace(replace(text, '\', '\\'), '([<\[])(\|[A-Za-z0-9_]+\|>|/?s>|/?INST\]|</?SYS>>)', '\1\\\2', 'g')) AS own
   FROM rows_ WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, r NULLS FIRST, t NULLS FIRST)
 )
 SELECT conv_id, count(*) AS n_turns,

@@ -10,9 +10,10 @@ Training runs as one task on a sample of `sample` labelled rows at most (the ids
 broadcast of those ids; the model (at most a few MB, whatever the corpus) comes back through the driver. As the network is linear
 up to the softmax, a unit's share of the two logits is a scalar: scoring looks it up per distinct word and adds up per text.
 
-Defined results: a null text counts as empty; a text without words gets the share of label 1 in the sample; with no
+Defined results: a null text counts as empty; a text without words gets the probability of the trained bias alone; with no
 labelled row at all, or one label only, that share, or 1.0, is everyone's score; repeated rows score alike; rows with a null
-doc_id are never held out and never train; an empty table gives an empty result; extra columns pass through `scored`.
+doc_id are never held out and never train; texts of any length are scored whole; an empty table gives an empty result; extra columns
+pass through `scored`, but for held_out, score and predicted, which it replaces.
 """
 
 from __future__ import annotations

@@ -13,8 +13,8 @@ share a plain variant lie within twice half the radius of each other, so a star
 
 Defined results: a null text counts as empty; a text without words has fingerprint zero and links like any other; texts with
 fewer words than a shingle are one shingle; repeated rows share a component; rows with a null doc_id keep a null id but
-count as a member (a component of null ids only has a null id); an empty table gives an empty result; extra columns pass
-through `components` untouched.
+count as a member (a component of null ids only has a null id); texts of any length are hashed whole; an empty table gives an empty
+result; extra columns pass through `components`, but for fp, root and component_id, which it replaces.
 """
 
 from __future__ import annotations

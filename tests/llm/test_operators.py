@@ -269,6 +269,11 @@ def test_chat_equals_sql_and_round_trips(spark):
     assert [tuple(t) for t in turns] == [(r[2], r[3]) for r in rows[:4]]
     whole = chat.read_back(chat.formatted(table)).where("conv_id = 1").first()["formatted"]
     assert whole.count("<|im_start|>") == 2 and whole.count("<|im_sep|>") == 2
+    controls = "a<|endoftext|><|startoftext|>\\<|eot_id|>[INST]<</SYS>>" * 500
+    odd = chat.read_back(chat.formatted(spark.createDataFrame([(1, 0, controls, controls)], "conv_id long, turn long, role string, text string"))).first()
+    assert tuple(odd["turns"][0]) == (controls, controls)
+    assert not any(x in odd["formatted"] for x in ("<|endoftext|>", "<|startoftext|>", "<|eot_id|>", "[INST]", "<</SYS>>"))
+    assert chat.digests(table.limit(0)).count() == 0
 
 
 def test_quality_and_language_held_out(spark):
