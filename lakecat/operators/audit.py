@@ -2,7 +2,7 @@
 
 A log has a place `n` for each entry, from 0 on. Every entry holds the hash of the entry before it; its own hash covers that and its
 fields. The first entry is a GENESIS, which names the digest of a seed; a GROUNDING after each `block` LOG entries holds the
-Merkle root over their hashes. Verification works on blocks of places by themselves and compares their borders by a join, so no
+Merkle root over their hashes. Verification works on blocks of places by themselves, each with the last entry of the one before, so no
 task holds the whole log.
 """
 
@@ -64,19 +64,20 @@ def grounded(logs: DataFrame, hash_: Column, block: int = BLOCK) -> DataFrame:
 
 def linked(log: DataFrame, seed: str, block: int = BLOCK) -> DataFrame:
     """The log with previous_hash: the hash at the place before; the first entry names the digest of the seed."""
-    before = _before(log, block, "hash")
+    before = _before(log, block + 1, "hash")
     return before.withColumn("previous_hash", F.when(F.col("n") == 0, F.sha2(F.lit(seed), 512)).otherwise(F.col("__before"))).drop("__before")
 
 
 def _before(log: DataFrame, block: int, column: str) -> DataFrame:
-    """The log with the column's value at the place before, `__before`: a window in each block of places, a join over their borders."""
-    cut = log.withColumn("__block", F.floor(F.col("n") / block))
+    """The log with the column's value at the place before, `__before`, null where that place is missing.
+
+    A window in each block of places; the entry at a block's last place goes to the next block too, as what its first one follows.
+    """
+    own = F.floor(F.col("n") / block)
+    cut = log.withColumn("__block", F.explode(F.when(F.col("n") % block == block - 1, F.array(own, own + 1)).otherwise(F.array(own))))
     w = Window.partitionBy("__block").orderBy("n")
-    inner = cut.withColumns({"__lag": F.lag(column).over(w), "__first": F.row_number().over(w) == 1})
-    last = cut.groupBy("__block").agg(F.max_by(F.struct("n", column), "n").alias("l"))
-    border = last.select((F.col("__block") + 1).alias("__block"), F.col("l.n").alias("__n"), F.col(f"l.{column}").alias("__last"))
-    met = inner.join(border, "__block", "left")
-    return met.withColumn("__before", F.when(~F.col("__first"), F.col("__lag")).when(F.col("__n") == F.col("n") - 1, F.col("__last"))).drop("__block", "__lag", "__first", "__n", "__last")
+    seen = cut.withColumns({"__n": F.lag("n").over(w), "__lag": F.lag(column).over(w)}).where(F.col("__block") == own)
+    return seen.withColumn("__before", F.when(F.col("__n") == F.col("n") - 1, F.col("__lag"))).drop("__block", "__n", "__lag")
 
 
 def verified(log: DataFrame, hash_: Column, seed: str, block: int = BLOCK) -> DataFrame:
@@ -98,7 +99,7 @@ def verified(log: DataFrame, hash_: Column, seed: str, block: int = BLOCK) -> Da
     problem = (
         F.when(~F.col("hash").eqNullSafe(hash_), "hash")
         .when(first & ((F.col("entry_type") != GENESIS) | ~F.col("previous_hash").eqNullSafe(F.sha2(F.lit(seed), 512))), "genesis")
-        .when(~first & ~F.col("previous_hash").eqNullSafe(F.col("__before")), "chain")
+        .when(~first & ~F.coalesce(F.col("previous_hash") == F.col("__before"), F.lit(False)), "chain")
         .when(~first & due & ~ground, "ungrounded")
         .when(ground & (~due | (F.coalesce("entries", F.lit(0)) != block)), "interval")
         .when(ground & ~F.col("merkle_root").eqNullSafe(F.col("__root")), "root")

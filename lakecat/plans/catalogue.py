@@ -941,9 +941,9 @@ def preconditions(spark, sf):
 
 
 @query("""SELECT object_id, part_id, sequence_number::INT AS sequence_number, size FROM parts_o UNION ALL SELECT o_orderkey, 0, coalesce(n, 0) + 1, 7 FROM orders
-    LEFT JOIN (SELECT object_id, max(sequence_number) AS n FROM parts_o GROUP BY 1) ON object_id = o_orderkey WHERE o_orderkey % 3 = 0""")
+    LEFT JOIN (SELECT object_id, max(sequence_number) AS n FROM parts_o GROUP BY 1) ON object_id = o_orderkey""")
 def append_parts(spark, sf):
-    new = adapters.table(spark, sf, "orders").where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("object_id"), F.lit(0).cast("long").alias("part_id"), F.lit(7).cast("long").alias("size"), F.lit(0).alias("pos"))
+    new = adapters.table(spark, sf, "orders").select(F.col("o_orderkey").alias("object_id"), F.lit(0).cast("long").alias("part_id"), F.lit(7).cast("long").alias("size"), F.lit(0).alias("pos"))
     return mutations.append_parts(adapters.parts(spark, sf), new)
 
 
@@ -988,18 +988,18 @@ def multipart_deltas(spark, sf):
 
 def _copies(spark, sf):
     objects = adapters.objects_orders(spark, sf)
-    asked = objects.where("object_id % 5 = 0").select(
+    asked = objects.select(
         "object_id", F.concat(F.lit("copy/"), "key").alias("new_key"), F.when(F.col("object_id") % 2 == 0, "REPLACE").otherwise("COPY").alias("directive"), F.create_map(F.lit("status"), F.lit("new")).alias("new_tags")
     )
     return mutations.copy_objects(objects, asked)
 
 
-@query("""SELECT bucket, 'copy/' || key AS key, size, object_id AS shares, CASE WHEN object_id % 2 = 0 THEN 'new' ELSE status END AS status, 'STANDARD' AS storage_class FROM orders_o WHERE object_id % 5 = 0""")
+@query("""SELECT bucket, 'copy/' || key AS key, size, object_id AS shares, CASE WHEN object_id % 2 = 0 THEN 'new' ELSE status END AS status, 'STANDARD' AS storage_class FROM orders_o""")
 def copy_objects(spark, sf):
     return _copies(spark, sf).select("bucket", "key", "size", "shares", F.element_at("tags", "status").alias("status"), "storage_class")
 
 
-@query("SELECT l_partkey AS part_id, count(*) AS delta FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_orderkey % 5 = 0 GROUP BY 1")
+@query("SELECT l_partkey AS part_id, count(*) AS delta FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1")
 def copy_references(spark, sf):
     return mutations.shared_references(adapters.parts(spark, sf), _copies(spark, sf))
 
