@@ -216,7 +216,8 @@ def components(docs: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, crow
     least = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     rooted = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = common.staged(rooted, "rooted")
-    own = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    # staged, so that both sides of the join on root are plain shuffles and the planner can split a hot root
+    own = common.staged(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "own")
     known = rooted.join(own, "root").select("fp", "root", "component_id")
     return rows.join(known, "fp")
 
