@@ -125,8 +125,9 @@ def links(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, crowd: int
     """(a, b): links between distinct fingerprints of `fps` (column fp) whose closure joins all pairs within the radius."""
     spark = fps.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    # few bytes a fingerprint, many variants: without this the small input would be put into few tasks
-    met = _variants(fps.repartition(n, "fp"), radius, blocks)
+    # few bytes a fingerprint, many variants: without this the small input would be put into few tasks; dealt by a hash of its own,
+    # because the planner drops a partitioning that repeats the one of `distinct` and then coalesces that one by its bytes
+    met = _variants(fps.repartition(n, F.xxhash64("fp")), radius, blocks)
     schema = "a long, b long, hot boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
