@@ -42,6 +42,8 @@ from . import common
 
 WINDOW, K, PIECE = 35, 10, 4096
 _BLOCK_BYTES = 2 << 20
+#: Bytes of different pieces of spans that a task counts before it hands them on.
+_SEEN_BYTES = 8 << 20
 
 
 #: Grams are compared by the bits above _LOW; a piece of so many grams is numbered in the bits below.
@@ -220,24 +222,39 @@ def spans(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
 
 def unverified(cut: DataFrame, window: int) -> DataFrame:
     """d, h, lo of the long spans that have a piece whose words no other occurrence has. cut: __d, __h, text, cuts."""
-    schema = "d long, h int, lo int, k1 long, k2 long, piece int, words binary"
+    schema = "d long, h int, lo int, k1 long, k2 long, piece int, words binary, c long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Equal pieces are counted before they leave a task, so that a span which many documents hold is a row per task and not per document."""
+        seen: dict[tuple, list] = {}
+        size = 0
         for batch in batches:
             for part in common.blocks(batch, _BLOCK_BYTES):
-                rows = []
                 for d, h, text, cuts in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), common.encoded(part.column(2)), part.column(3).to_pylist(), strict=True):
                     words = text.split()
                     for c in cuts:
                         if c["k1"] is None:
                             continue
                         end = c["lo"] + c["n"] + window - 1
-                        rows += [(d, h, c["lo"], c["k1"], c["k2"], i, b" ".join(words[a : min(a + PIECE, end)])) for i, a in enumerate(range(c["lo"], end, PIECE))]
-                yield common.out_batch(held, zip(*rows, strict=True) if rows else [[]] * len(held))
-
-    held = pa.schema([("d", pa.int64()), ("h", pa.int32()), ("lo", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()), ("piece", pa.int32()), ("words", pa.binary())])
+                        for i, a in enumerate(range(c["lo"], end, PIECE)):
+                            key = c["k1"], c["k2"], i, b" ".join(words[a : min(a + PIECE, end)])
+                            if key in seen:
+                                seen[key][3] += 1
+                            else:
+                                seen[key] = [d, h, c["lo"], 1]
+                                size += len(key[3])
+                if size > _SEEN_BYTES:
+                    yield made(seen)
+                    seen, size = {}, 0
+        yield made(seen)
+
+    def made(seen: dict[tuple, list]) -> pa.RecordBatch:
+        rows = [(*of, *key, n) for key, (*of, n) in seen.items()]
+        return common.out_batch(held, zip(*rows, strict=True) if rows else [[]] * len(held))
+
+    held = pa.schema([("d", pa.int64()), ("h", pa.int32()), ("lo", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()), ("piece", pa.int32()), ("words", pa.binary()), ("c", pa.int64())])
     said = cut.select("__d", "__h", "text", "cuts").where("cuts IS NOT NULL").mapInArrow(run, schema)
-    alone = said.groupBy("k1", "k2", "piece", "words").agg(F.count("*").alias("c"), *[F.min(x).alias(x) for x in ("d", "h", "lo")]).where("c = 1")
+    alone = said.groupBy("k1", "k2", "piece", "words").agg(F.sum("c").alias("c"), *[F.min(x).alias(x) for x in ("d", "h", "lo")]).where("c = 1")
     return alone.select("d", "h", "lo").distinct()
 
 
